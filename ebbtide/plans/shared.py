@@ -1,0 +1,25 @@
+"""Where tables that several jobs share are written."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder that the cluster names.
+
+    Only a local session may do without the setting: there one machine is the
+    whole cluster and a temporary folder is as good.
+    """
+    root = spark.conf.get(SETTING, None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors can reach")
+        root = tempfile.mkdtemp(prefix="ebbtide-")
+        spark.conf.set(SETTING, root)
+    return f"{root.rstrip('/')}/ebbtide/{name}-{uuid.uuid4().hex}"
