@@ -18,7 +18,7 @@ from ebbtide.plans import reporting, training
 from ebbtide.plans.artifacts import load_model, save_model
 from ebbtide.plans.job import run_job
 from ebbtide.plans.preprocessing import prepare_training, preprocess_input, run_preprocessing
-from ebbtide.plans.shared import shared_dir
+from ebbtide.shared import shared_dir, stored
 from ebbtide.sources import customers, reports
 from ebbtide.sources.generator import generate_from_keys
 from ebbtide.sources.subscribers import subscribers, subscribers_with_key
@@ -39,7 +39,7 @@ def query(function: Query) -> Query:
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subscriber table with faults: copies, null labels, bad tenures, padding, bad numbers."""
     df = subscribers_with_key(spark, sf_dir)
-    key = F.col("c_custkey")
+    key = "c_custkey"
     bad_total = uniform(key, "bad_total")
     df = df.withColumns(
         {
@@ -437,7 +437,7 @@ def linear_attribution(spark, sf_dir):
 
 @query
 def attribution_summary(spark, sf_dir):
-    return explain.attribution_summary(explain.linear_attribution(subscribers(spark, sf_dir)))
+    return explain.attribution_summary(stored(explain.linear_attribution(subscribers(spark, sf_dir))))
 
 
 @query
@@ -447,7 +447,7 @@ def waterfall_topk(spark, sf_dir):
 
 @query
 def dependence_bins(spark, sf_dir):
-    return explain.dependence(explain.linear_attribution(subscribers(spark, sf_dir)))
+    return explain.dependence(stored(explain.linear_attribution(subscribers(spark, sf_dir))))
 
 
 @query

@@ -43,10 +43,17 @@ def bin_label(
     return chain.otherwise(F.lit(outside))
 
 
-def uniform(key: Column, field: str) -> Column:
-    """A uniform in [0, 1) that depends on key and field only, not on partitioning."""
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{field}")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def uniform_sql(key: str, field: str) -> str:
+    """SQL text of a uniform in [0, 1) that depends on key and field only.
+
+    ``key`` is SQL text too. The value does not depend on partitioning or row order.
+    """
+    digest = f"md5(concat(cast({key} as string), ':{field}'))"
+    return f"(cast(conv(substr({digest}, 1, 8), 16, 10) as bigint) / 4294967296.0D)"
+
+
+def uniform(key: str, field: str) -> Column:
+    return F.expr(uniform_sql(key, field))
 
 
 def equal_bin(value: Column, low: Column, high: Column, bins: int) -> Column:

@@ -14,6 +14,7 @@ from ebbtide.functions.numeric import half_even, uniform
 from ebbtide.operators.evaluate import roc_auc
 from ebbtide.operators.ranking import exact_quantiles
 from ebbtide.operators.score import Scorer, rule_terms
+from ebbtide.shared import shuffle_partitions
 
 SUMMARY_ROWS = 20
 WATERFALL_ROWS = 15
@@ -264,13 +265,17 @@ def with_neighbour(
     Every payload is used exactly once per repeat and nothing is sorted globally.
     """
     buckets = max(1, -(-df.count() // bucket_rows))
+    parts = shuffle_partitions(df.sparkSession)
     place = F.concat(F.col(key).cast("string"), F.lit(f":shift{seed}:"), F.col("repeat").cast("string"))
     around = Window.partitionBy("repeat", "_bucket").orderBy("_place", key)
     return (
         df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("_bucket", F.floor(uniform(F.col(key), f"bucket{seed}") * buckets))
+        .withColumn("_bucket", F.floor(uniform(key, f"bucket{seed}") * buckets))
         .withColumn("_place", F.md5(place))
         .withColumn("_payload", payload)
+        # The partitioning of the window; a given number keeps the tasks apart although
+        # the rows are few bytes, because scoring them is the expensive part.
+        .repartition(parts, "repeat", "_bucket")
         .withColumn("neighbour", F.coalesce(F.lead("_payload").over(around), F.first("_payload").over(around)))
         .drop("_bucket", "_place", "_payload")
     )

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.shared import stored
+
 RANGES = 128
 
 
@@ -30,19 +32,15 @@ def running_counts(
     sort earlier) and ``name_total`` (sum over the group). Null values are left out.
     """
     groups = list(groups or [])
-    tied = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(*[F.sum(amount).alias(name) for name, amount in counts.items()])
-    )
-    cuts = tied.agg(
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)
-    ).scalar()
-    ranged = (
-        tied.withColumn("_cuts", cuts)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
-        .drop("_cuts")
-    )
+    # Read three times below, and one row per distinct value: computed once and kept.
+    tied = stored(
+        df.groupBy(*groups, value).agg(*[F.sum(amount).alias(name) for name, amount in counts.items()])
+    ).filter(F.col(value).isNotNull())
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = tied.agg(F.percentile_approx(value, shares, 10 * ranges)).first()[0]
+    # `ranges` - 1 numbers at most.
+    edges = F.array(*[F.lit(cut) for cut in sorted(set(cuts or []))]).cast("array<double>")
+    ranged = tied.withColumn("_range", F.size(F.filter(edges, lambda cut: cut < F.col(value))))
 
     def sort_key(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()

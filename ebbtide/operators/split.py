@@ -21,7 +21,7 @@ def hash_split(
 
     No shuffle and no pass over the data; strata hold in expectation.
     """
-    return df.withColumn("is_test", uniform(F.col(key), f"split{seed}") < test_size)
+    return df.withColumn("is_test", uniform(key, f"split{seed}") < test_size)
 
 
 def stratified_split(
@@ -38,7 +38,7 @@ def stratified_split(
     row lies; only the rows of that slot (1 / slots of the label) are then ranked.
     What comes to the driver is one row per label. ``key`` must be unique.
     """
-    draw = uniform(F.col(key), f"split{seed}")
+    draw = uniform(key, f"split{seed}")
     slot = F.floor(draw * slots)
     # At most `slots` rows per label.
     upto = Window.partitionBy(label).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,7 +106,7 @@ def split_counts(df: DataFrame) -> DataFrame:
 
 def assign_folds(df: DataFrame, folds: int = 5, seed: int = S.SEED, key: str = S.ID) -> DataFrame:
     """Add ``fold`` in 0..folds-1."""
-    draw = uniform(F.col(key), f"fold{seed}")
+    draw = uniform(key, f"fold{seed}")
     return df.withColumn("fold", F.floor(draw * folds).cast("int"))
 
 

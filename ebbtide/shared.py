@@ -1,11 +1,11 @@
-"""Where tables that several jobs share are written."""
+"""Tables that outlive the executors which computed them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -23,3 +23,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="ebbtide-")
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/ebbtide/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the session's reliable checkpoint folder.
+
+    For a table that is read several times and costs more to compute than to store.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

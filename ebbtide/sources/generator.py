@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import schema as S
-from ebbtide.functions.numeric import half_even, uniform
+from ebbtide.functions.numeric import half_even, uniform, uniform_sql
 from ebbtide.operators.score import rule_score, sigmoid
-from ebbtide.sources.subscribers import CONTRACT_CUTS, draw_attributes, pick, subscriber_id
+from ebbtide.sources.subscribers import CONTRACT_CUTS, draw_attributes, pick_sql, subscriber_id
 
 # Ranges of the parts of the monthly charge.
 BASE_CHARGE = (18.0, 30.0)
@@ -29,18 +29,18 @@ BLANK_TOTALS = 11
 DEFAULT_ROWS = 7043
 
 
-def _between(key: Column, field: str, limits: tuple[float, float]) -> Column:
+def _between(key: str, field: str, limits: tuple[float, float]) -> Column:
     low, high = limits
     return F.lit(low) + F.lit(high - low) * uniform(key, field)
 
 
-def _normal(key: Column, field: str) -> Column:
+def _normal(key: str, field: str) -> Column:
     """A standard normal from two uniforms (Box and Muller)."""
     radius = F.sqrt(-2.0 * F.log(1.0 - uniform(key, f"{field}1")))
     return radius * F.cos(2.0 * math.pi * uniform(key, f"{field}2"))
 
 
-def _blank_limit(keys: DataFrame, key: Column, blanks: int) -> Column:
+def _blank_limit(keys: DataFrame, key: str, blanks: int) -> Column:
     """The ``blanks``-th smallest draw; a top-k, one number comes out."""
     draws = keys.select(uniform(key, "blank").alias("draw")).orderBy("draw").limit(blanks)
     return draws.agg(F.max("draw")).scalar()
@@ -55,12 +55,12 @@ def generate_from_keys(
     same customer. ``blanks`` customers have a blank TotalCharges. Keys must be unique.
     """
     keys = keys.select(F.col(key).alias("_key"), F.concat_ws(":", F.lit(seed), F.col(key)).alias("_draw"))
-    draw = F.col("_draw")
+    draw = "_draw"
     df = draw_attributes(keys, draw).withColumns(
         {
-            "customerID": subscriber_id(F.col("_key")),
+            "customerID": subscriber_id("_key"),
             "tenure": F.floor(uniform(draw, "tenure") * (MAX_TENURE + 1)).cast("int"),
-            "Contract": pick(uniform(draw, "contract"), CONTRACT_CUTS),
+            "Contract": F.expr(pick_sql(uniform_sql(draw, "contract"), CONTRACT_CUTS)),
         }
     )
     charge = _between(draw, "base", BASE_CHARGE)

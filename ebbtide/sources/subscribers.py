@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import schema as S
-from ebbtide.functions.numeric import half_even, uniform
+from ebbtide.functions.numeric import half_even, uniform, uniform_sql
 from ebbtide.operators.score import rule_score, sigmoid
 
 # Share of each answer in the generated attributes.
@@ -26,6 +26,7 @@ ADD_ON_SHARES = {
     "StreamingMovies": ("movies", 0.39),
 }
 MULTIPLE_LINES_SHARE = 0.42
+GENDER_CUTS = [("Male", 0.5), ("Female", None)]
 INTERNET_CUTS = [("DSL", 0.34), ("Fiber optic", 0.78), ("No", None)]
 PAYMENT_CUTS = [
     ("Electronic check", 0.34),
@@ -36,50 +37,47 @@ PAYMENT_CUTS = [
 CONTRACT_CUTS = [("Month-to-month", 0.55), ("One year", 0.76), ("Two year", None)]
 
 
-def pick(draw: Column, cuts: list[tuple[str, float | None]]) -> Column:
-    """The first answer whose cumulative share exceeds the draw."""
-    chain = None
-    for answer, cut in cuts[:-1]:
-        chain = F.when(draw < cut, answer) if chain is None else chain.when(draw < cut, answer)
-    return chain.otherwise(cuts[-1][0])
+def pick_sql(draw: str, cuts: list[tuple[str, float | None]]) -> str:
+    """SQL text: the first answer whose cumulative share exceeds the draw."""
+    cases = " ".join(f"WHEN {draw} < {cut}D THEN '{answer}'" for answer, cut in cuts[:-1])
+    return f"CASE {cases} ELSE '{cuts[-1][0]}' END"
 
 
-def subscriber_id(key: Column) -> Column:
-    """CUST- and the key with at least six digits; longer keys are kept whole."""
-    digits = key.cast("string")
-    return F.concat(F.lit("CUST-"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")))
+def yes_sql(key: str, field: str, share: float) -> str:
+    return pick_sql(uniform_sql(key, field), [("Yes", share), ("No", None)])
 
 
-def draw_attributes(df: DataFrame, key: Column) -> DataFrame:
-    """Demographics and services, each drawn from its own uniform of the key."""
-    df = df.withColumns(
-        {
-            "gender": F.when(uniform(key, "gender") < 0.5, "Male").otherwise("Female"),
-            "SeniorCitizen": F.when(uniform(key, "senior") < 1 - SENIOR_SHARE, 0).otherwise(1),
-            **{
-                name: F.when(uniform(key, field) < share, "Yes").otherwise("No")
-                for name, (field, share) in YES_SHARES.items()
-            },
-            "InternetService": pick(uniform(key, "internet"), INTERNET_CUTS),
-            "PaymentMethod": pick(uniform(key, "pay"), PAYMENT_CUTS),
-        }
+def subscriber_id(key: str) -> Column:
+    """CUST- and the key with at least six digits; longer keys are kept whole."""
+    digits = f"cast({key} as string)"
+    return F.expr(f"concat('CUST-', lpad({digits}, greatest(6, length({digits})), '0'))")
+
+
+def draw_attributes(df: DataFrame, key: str) -> DataFrame:
+    """Demographics and services, each drawn from its own uniform of the key (SQL text)."""
+    df = df.selectExpr(
+        "*",
+        f"{pick_sql(uniform_sql(key, 'gender'), GENDER_CUTS)} AS gender",
+        f"int({uniform_sql(key, 'senior')} >= {1 - SENIOR_SHARE}D) AS SeniorCitizen",
+        *[f"{yes_sql(key, *drawn)} AS {name}" for name, drawn in YES_SHARES.items()],
+        f"{pick_sql(uniform_sql(key, 'internet'), INTERNET_CUTS)} AS InternetService",
+        f"{pick_sql(uniform_sql(key, 'pay'), PAYMENT_CUTS)} AS PaymentMethod",
     )
-    lines = F.when(uniform(key, "lines") < MULTIPLE_LINES_SHARE, "Yes").otherwise("No")
-    add_ons = {
-        name: F.when(F.col("InternetService") == "No", "No internet service")
-        .when(uniform(key, field) < share, "Yes")
-        .otherwise("No")
-        for name, (field, share) in ADD_ON_SHARES.items()
-    }
-    no_phone = F.col("PhoneService") == "No"
-    return df.withColumns(
-        {"MultipleLines": F.when(no_phone, "No phone service").otherwise(lines), **add_ons}
+    return df.selectExpr(
+        "*",
+        f"CASE WHEN PhoneService = 'No' THEN 'No phone service' "
+        f"ELSE {yes_sql(key, 'lines', MULTIPLE_LINES_SHARE)} END AS MultipleLines",
+        *[
+            f"CASE WHEN InternetService = 'No' THEN 'No internet service' "
+            f"ELSE {yes_sql(key, *drawn)} END AS {name}"
+            for name, drawn in ADD_ON_SHARES.items()
+        ],
     )
 
 
-def as_of(key: Column) -> Column:
+def as_of(key: str) -> Column:
     """Observation date of a subscriber, staggered over 67 months."""
-    return F.add_months(F.lit("1995-07-01").cast("date"), ((key * 37) % 67).cast("int"))
+    return F.expr(f"add_months(date'1995-07-01', int({key} * 37 % 67))")
 
 
 def first_orders(orders: DataFrame) -> DataFrame:
@@ -90,7 +88,7 @@ def first_orders(orders: DataFrame) -> DataFrame:
     """
     return (
         orders.select("o_custkey", F.col("o_orderdate").cast("date").alias("_day"))
-        .filter(F.col("_day") < as_of(F.col("o_custkey")))
+        .filter(F.col("_day") < as_of("o_custkey"))
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(F.min("_day").alias("first_order"))
     )
@@ -100,7 +98,7 @@ def subscribers_with_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer: c_custkey and the 21 raw columns."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    key = F.col("c_custkey")
+    key = "c_custkey"
 
     base = customer.select("c_custkey", "c_acctbal", "c_mktsegment").join(
         first_orders(orders), "c_custkey", "left"
