@@ -190,11 +190,17 @@ def correlation(df: DataFrame, top_n: int = 15) -> DataFrame:
         names = sorted(names, key=lambda name: -(spread[name] or 0.0))[:top_n]
     pairs = list(combinations_with_replacement(names, 2))
 
+    def pearson(x: str, y: str) -> str:
+        # corr() itself fails on a constant column under ANSI rules; here it gives null.
+        a, b = f"double(`{x}`)", f"double(`{y}`)"
+        spread = (
+            f"sqrt(var_pop({a}) FILTER (WHERE `{y}` IS NOT NULL) * "
+            f"var_pop({b}) FILTER (WHERE `{x}` IS NOT NULL))"
+        )
+        return f"try_divide(covar_pop({a}, {b}), {spread})"
+
     # SQL text: a few hundred expressions are much quicker to hand over that way.
-    # A constant column has no correlation: its NaN becomes null.
-    found = [
-        f"nanvl(corr(double(`{x}`), double(`{y}`)), null) AS c{i}" for i, (x, y) in enumerate(pairs)
-    ]
+    found = [f"{pearson(x, y)} AS c{i}" for i, (x, y) in enumerate(pairs)]
     measured = df.agg(*[F.expr(text) for text in found])
     rows = []
     for i, (x, y) in enumerate(pairs):
