@@ -26,31 +26,28 @@ def read_events(spark: SparkSession, folder: str, files: str = "events*.parquet"
     )
 
 
+def drop_repeats(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Drop events that come again within the delay; state is kept no longer than that."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def score_events(
-    events: DataFrame,
-    subscribers: DataFrame,
-    threshold: float = S.DEFAULT_THRESHOLD,
-    delay: str = "1 day",
+    events: DataFrame, subscribers: DataFrame, threshold: float = S.DEFAULT_THRESHOLD
 ) -> DataFrame:
-    """One scored row per event; repeated events within the delay are dropped.
+    """One scored row per event, for a stream or a table of events.
 
     ``subscribers`` is a static scored table with c_custkey and churn_probability.
     Spark picks the join by its size; only two of its columns are read. An event of an
     unknown subscriber is kept, without a probability.
     """
     p = F.col(S.PROBABILITY)
-    return (
-        events.select("event_id", "ts", "user_id")
-        .withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .join(subscribers.select(F.col("c_custkey").alias("user_id"), S.PROBABILITY), "user_id", "left")
-        .select(
-            "event_id",
-            "user_id",
-            half_even(p * 100).alias("ChurnProbability"),
-            at_least(p, threshold).alias("ChurnPrediction"),
-            risk.risk_label(p).alias("RiskLabel"),
-        )
+    known = subscribers.select(F.col("c_custkey").alias("user_id"), S.PROBABILITY)
+    return events.join(known, "user_id", "left").select(
+        "event_id",
+        "user_id",
+        half_even(p * 100).alias("ChurnProbability"),
+        at_least(p, threshold).alias("ChurnPrediction"),
+        risk.risk_label(p).alias("RiskLabel"),
     )
 
 
