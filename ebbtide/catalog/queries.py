@@ -553,7 +553,7 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> training.TrainingData:
         folder = shared_dir(spark, "training")
         prepared(spark, sf_dir).write.parquet(f"{folder}/prepared")
         data = training.training_data(spark.read.parquet(f"{folder}/prepared"))
-        data.vectors.write.parquet(f"{folder}/vectors")
+        training.spread(data.vectors).write.parquet(f"{folder}/vectors")
         stored = spark.read.parquet(f"{folder}/vectors").persist(StorageLevel.MEMORY_AND_DISK)
         _trained[key] = training.TrainingData(stored, data.stages, data.encoding)
     return _trained[key]
@@ -570,12 +570,7 @@ def fitted(spark: SparkSession, sf_dir: str, fit) -> tuple[training.TrainingData
 
 def _split_metrics(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
     data, search = fitted(spark, sf_dir, fit)
-    scored = data.churn_model(search).score_vectors(data.vectors)
-    split_name = F.when(F.col("is_test"), "test").otherwise("train")
-    measured = evaluate.compute_metrics(scored.withColumn("part", split_name), groups=["part"])
-    return measured.select(
-        F.lit(search.name).alias("model"), F.col("part").alias("split"), "metric", "value"
-    )
+    return training.split_metrics(data.churn_model(search), data.vectors)
 
 
 @query

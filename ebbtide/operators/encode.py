@@ -13,10 +13,10 @@ from pyspark.ml import Transformer
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
-    StringIndexerModel,
+    StringIndexer,
     VectorAssembler,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import schema as S
@@ -84,7 +84,8 @@ def fit_encoding(
         ]
         for row in df.select(F.inline(F.array(*pairs))).distinct().collect():
             levels[row["name"]].append(row["level"])
-    levels = {name: sorted(found) for name, found in levels.items()}
+    # The order of the JVM, which compares UTF-16 units.
+    levels = {name: sorted(found, key=lambda v: v.encode("utf-16-be")) for name, found in levels.items()}
 
     columns = passthrough + numerics
     columns += [f"{name}_{level}" for name in categoricals for level in levels[name]]
@@ -137,26 +138,38 @@ def align_columns(df: DataFrame, feature_columns: list[str], keep: list[str] | N
     return df.select(*(keep or []), *columns)
 
 
-def ml_stages(encoding: Encoding) -> list[Transformer | OneHotEncoder]:
-    """The encoding as ML stages that produce the vector ``features``.
+def _level_table(spark: SparkSession, levels: dict[str, list[str]]) -> DataFrame:
+    """The levels as a table, one column each, shorter columns repeating their first level."""
+    rows = max(map(len, levels.values()))
+    columns = [found + found[:1] * (rows - len(found)) for found in levels.values()]
+    return spark.createDataFrame(list(zip(*columns)), list(levels))
 
-    The stages are built from the fitted values, so they take no further pass. Spark's
-    own StandardScaler is not used: it divides by the sample sigma and maps a
+
+def ml_stages(encoding: Encoding) -> list[Transformer]:
+    """The encoding as fitted ML stages that produce the vector ``features``.
+
+    The stages are fitted on the table of levels, so they take no pass over the data.
+    Spark's own StandardScaler is not used: it divides by the sample sigma and maps a
     constant column to 0.
     """
-    categoricals = list(encoding.levels)
-    codes = [f"{name}__code" for name in categoricals]
-    slots = [f"{name}__slots" for name in categoricals]
+    stages: list[Transformer] = []
+    slots = [f"{name}__slots" for name in encoding.levels]
+    if encoding.levels:
+        codes = [f"{name}__code" for name in encoding.levels]
+        levels = _level_table(SparkSession.active(), encoding.levels)
+        indexer = StringIndexer(
+            inputCols=list(encoding.levels),
+            outputCols=codes,
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        ).fit(levels)
+        # "keep" puts unseen levels in one extra slot; dropLast removes just that slot.
+        one_hot = OneHotEncoder(inputCols=codes, outputCols=slots, dropLast=True)
+        stages += [indexer, one_hot.fit(indexer.transform(levels))]
     scaled = [
         f"(({name}) - ({mean!r}D)) / ({encoding.sigmas[name]!r}D) AS {name}__scaled"
         for name, mean in encoding.means.items()
     ]
-    stages: list = [
-        StringIndexerModel.from_labels(encoding.levels[name], name, code, handleInvalid="keep")
-        for name, code in zip(categoricals, codes)
-    ]
-    # "keep" above puts unseen levels in one extra slot; dropLast removes just that slot.
-    stages.append(OneHotEncoder(inputCols=codes, outputCols=slots, dropLast=True))
     if scaled:
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"))
     inputs = encoding.passthrough + [f"{name}__scaled" for name in encoding.means] + slots
