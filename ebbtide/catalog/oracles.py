@@ -683,6 +683,7 @@ ORACLES: dict[str, str] = {
     "(SELECT c.*, len(list_filter(e, lambda x: x < feature_value))::int AS bin FROM chosen c JOIN edges USING (feature)) "
     "GROUP BY feature, bin",
     "rule_permutation_importance": PERMUTATION,
+    "explained_sample": f"WITH {LABELLED} SELECT * FROM labelled ORDER BY md5(customerID||':sample42') LIMIT 300",
     "dataset_kpis": f"WITH {FAULTY} SELECT count(*) AS customers, "
     f"{r('(count(*) FILTER (Churn = $$Yes$$))::double/count(*)', 6)} AS churn_rate, 21::int AS n_columns, "
     f"({' + '.join(f'count(*) FILTER ({n} IS NULL)' for n in RAW_TYPES)})::bigint AS missing_cells FROM faulty",

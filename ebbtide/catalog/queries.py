@@ -457,6 +457,12 @@ def rule_permutation_importance(spark, sf_dir):
     return explain.permutation_importance(df, rule_scorer, names, n_repeats=3)
 
 
+@query
+def explained_sample(spark, sf_dir):
+    """The sampling operator: the rows that a model explanation looks at."""
+    return explain.sample_rows(labelled(spark, sf_dir), 300)
+
+
 # --- dashboard ------------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ebbtide import schema as S
 from ebbtide.functions.numeric import half_even, safe_divide
 from ebbtide.operators.ranking import running_counts
+from ebbtide.shared import stored
 
 METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 
@@ -70,29 +71,36 @@ def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
 
 def roc_auc(scored: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """(groups, roc_auc): exact rank-sum area, null when a class is absent."""
-    # Rank-sum numerator; scaled by the class sizes once per group.
-    area = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2))
     sizes = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return score_counts(scored, groups).groupBy(*(groups or [])).agg(
-        safe_divide(area, sizes, None).alias("roc_auc")
+        safe_divide(_rank_sum(), sizes, None).alias("roc_auc")
     )
 
 
+def _rank_sum() -> Column:
+    """Pairs of a negative and a higher positive, ties counting half."""
+    return F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2))
+
+
 def metrics_table(
     scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD, groups: list[str] | None = None
 ) -> DataFrame:
-    """One row per group: the five metrics, 4 decimals, size, base rate and threshold.
+    """One row per group: the five metrics, 4 decimals, size, base rate and threshold."""
+    return metrics_from_counts(score_counts(scored, groups), threshold, groups)
 
-    Everything is read off the counts per distinct probability in one aggregate.
-    """
+
+def metrics_from_counts(
+    counts: DataFrame, threshold: float = S.DEFAULT_THRESHOLD, groups: list[str] | None = None
+) -> DataFrame:
+    """``metrics_table`` read off the ``score_counts`` in one aggregate."""
     groups = list(groups or [])
     flagged = F.col(S.PROBABILITY) >= threshold
-    counted = score_counts(scored, groups).groupBy(*groups).agg(
+    counted = counts.groupBy(*groups).agg(
         F.coalesce(F.sum(F.when(flagged, F.col("pos"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(flagged, F.col("neg"))), F.lit(0)).alias("fp"),
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
-        F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2)).alias("area"),
+        _rank_sum().alias("area"),
     )
     tp, fp, p, n = (F.col(name) for name in ("tp", "fp", "p", "n"))
     rates = _rates(tp, fp, p - tp, n - fp)
@@ -114,8 +122,11 @@ def compute_metrics(
     groups: list[str] | None = None,
 ) -> DataFrame:
     """``metrics_table`` in long form: (groups, split, metric, value)."""
+    return _long_metrics(metrics_table(scored, threshold, groups), split_name, groups)
+
+
+def _long_metrics(wide: DataFrame, split_name: str, groups: list[str] | None = None) -> DataFrame:
     groups = list(groups or [])
-    wide = metrics_table(scored, threshold, groups)
     names = [name for name in wide.columns if name not in groups]
     return wide.withColumn("split", F.lit(split_name)).unpivot(
         [*groups, "split"], names, "metric", "value"
@@ -164,9 +175,9 @@ def format_report(report: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
-def roc_points(scored: DataFrame) -> DataFrame:
+def roc_points(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct probability, plus the origin."""
-    points = score_counts(scored).select(
+    points = (counts or score_counts(scored)).select(
         F.col(S.PROBABILITY).alias("threshold"),
         safe_divide(F.col("neg_before") + F.col("neg"), F.col("neg_total")).alias("fpr"),
         safe_divide(F.col("pos_before") + F.col("pos"), F.col("pos_total")).alias("tpr"),
@@ -175,10 +186,10 @@ def roc_points(scored: DataFrame) -> DataFrame:
     return points.unionByName(origin)
 
 
-def pr_points(scored: DataFrame) -> DataFrame:
+def pr_points(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(threshold, precision, recall) at every distinct probability, plus recall 0."""
     flagged = F.col("pos_before") + F.col("pos") + F.col("neg_before") + F.col("neg")
-    points = score_counts(scored).select(
+    points = (counts or score_counts(scored)).select(
         F.col(S.PROBABILITY).alias("threshold"),
         safe_divide(F.col("pos_before") + F.col("pos"), flagged).alias("precision"),
         safe_divide(F.col("pos_before") + F.col("pos"), F.col("pos_total")).alias("recall"),
@@ -191,14 +202,14 @@ def _one_row(spark: SparkSession, **values: float) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in values.items()])
 
 
-def curve_summary(scored: DataFrame) -> DataFrame:
+def curve_summary(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(roc_auc, pr_auc, base_rate): trapezoid areas of both curves and the base line."""
     pos_at, neg_at = F.col("pos").cast("double"), F.col("neg").cast("double")
     pos_above, neg_above = F.col("pos_before").cast("double"), F.col("neg_before").cast("double")
     here = safe_divide(pos_above + pos_at, pos_above + pos_at + neg_above + neg_at)
     # The curve starts at recall 0 with precision 1.
     before = safe_divide(pos_above, pos_above + neg_above, 1.0)
-    totals = score_counts(scored).agg(
+    totals = (counts or score_counts(scored)).agg(
         F.sum(pos_at).alias("p"),
         F.sum(neg_at).alias("n"),
         F.sum(neg_at * (pos_above + pos_at / 2)).alias("roc"),
@@ -238,13 +249,14 @@ def threshold_sensitivity(scored: DataFrame, thresholds: list[float] | None = No
 
 
 def evaluate_scored(scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD) -> dict[str, DataFrame]:
-    """Every evaluation table, from one scored DataFrame (persist it first)."""
+    """Every evaluation table of one scored DataFrame; the probabilities are ranked once."""
+    counts = stored(score_counts(scored))
     return {
-        "metrics": compute_metrics(scored, threshold),
+        "metrics": _long_metrics(metrics_from_counts(counts, threshold), "test"),
         "confusion_matrix": confusion_matrix(scored, threshold),
         "classification_report": classification_report(scored, threshold),
-        "roc_points": roc_points(scored),
-        "pr_points": pr_points(scored),
-        "curve_summary": curve_summary(scored),
+        "roc_points": roc_points(scored, counts),
+        "pr_points": pr_points(scored, counts),
+        "curve_summary": curve_summary(scored, counts),
         "threshold_sensitivity": threshold_sensitivity(scored),
     }

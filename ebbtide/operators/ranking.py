@@ -9,12 +9,33 @@ whatever the cuts are; they only decide how even the tasks are.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.shared import stored
 
-RANGES = 128
+# A range holds about this many distinct values; there are never more than MAX_RANGES.
+RANGE_ROWS = 500_000
+MAX_RANGES = 2048
+# Small tables need no even cuts; any cut will do.
+ANY_CUT = [0.0]
+
+
+def _cuts(tied: DataFrame, value: str, ranges: int | None) -> list[float]:
+    """Approximate quantiles of the distinct values that cut them into ranges.
+
+    At most MAX_RANGES - 1 numbers come to the driver.
+    """
+    if ranges is None:
+        ranges = min(MAX_RANGES, -(-tied.count() // RANGE_ROWS))
+    if ranges < 2:
+        return ANY_CUT
+    shares = [i / ranges for i in range(1, ranges)]
+    found = tied.agg(F.percentile_approx(value, shares, 10 * ranges)).first()[0]
+    return sorted({cut for cut in found or [] if math.isfinite(cut)}) or ANY_CUT
 
 
 def running_counts(
@@ -23,7 +44,7 @@ def running_counts(
     counts: dict[str, Column],
     groups: list[str] | None = None,
     descending: bool = False,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per (group, distinct value) with each count and its running sum.
 
@@ -36,16 +57,16 @@ def running_counts(
     tied = stored(
         df.groupBy(*groups, value).agg(*[F.sum(amount).alias(name) for name, amount in counts.items()])
     ).filter(F.col(value).isNotNull())
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = tied.agg(F.percentile_approx(value, shares, 10 * ranges)).first()[0]
-    # `ranges` - 1 numbers at most.
-    edges = F.array(*[F.lit(cut) for cut in sorted(set(cuts or []))]).cast("array<double>")
-    ranged = tied.withColumn("_range", F.size(F.filter(edges, lambda cut: cut < F.col(value))))
+    splits = [-math.inf, *_cuts(tied, value, ranges), math.inf]
+    # NaN sorts last in Spark and is kept in a range of its own after the last one.
+    ranged = Bucketizer(
+        splits=splits, inputCol=value, outputCol="_range", handleInvalid="keep"
+    ).transform(tied)
 
     def sort_key(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    # At most `ranges` rows per group, so these windows are small whatever the table is.
+    # At most MAX_RANGES rows per group, so these windows are small whatever the table is.
     whole_group = Window.partitionBy(*groups)
     earlier_ranges = whole_group.orderBy(sort_key("_range")).rowsBetween(
         Window.unboundedPreceding, -1

@@ -32,22 +32,36 @@ def drop_repeats(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def score_events(
-    events: DataFrame, subscribers: DataFrame, threshold: float = S.DEFAULT_THRESHOLD
+    events: DataFrame,
+    subscribers: DataFrame,
+    threshold: float = S.DEFAULT_THRESHOLD,
+    salts: int = 8,
 ) -> DataFrame:
     """One scored row per event, for a stream or a table of events.
 
-    ``subscribers`` is a static scored table with c_custkey and churn_probability.
-    Spark picks the join by its size; only two of its columns are read. An event of an
-    unknown subscriber is kept, without a probability.
+    ``subscribers`` is a static scored table with c_custkey and churn_probability, of
+    which just these two columns are read. A streaming join is not re-planned at run
+    time, so the events of a busy user are spread over ``salts`` join keys, for which
+    each subscriber comes ``salts`` times. An event of an unknown subscriber is kept,
+    without a probability.
     """
     p = F.col(S.PROBABILITY)
-    known = subscribers.select(F.col("c_custkey").alias("user_id"), S.PROBABILITY)
-    return events.join(known, "user_id", "left").select(
-        "event_id",
-        "user_id",
-        half_even(p * 100).alias("ChurnProbability"),
-        at_least(p, threshold).alias("ChurnPrediction"),
-        risk.risk_label(p).alias("RiskLabel"),
+    known = subscribers.select(
+        F.col("c_custkey").alias("user_id"),
+        S.PROBABILITY,
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    )
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")
+    return (
+        events.withColumn("salt", salt)
+        .join(known, ["user_id", "salt"], "left")
+        .select(
+            "event_id",
+            "user_id",
+            half_even(p * 100).alias("ChurnProbability"),
+            at_least(p, threshold).alias("ChurnPrediction"),
+            risk.risk_label(p).alias("RiskLabel"),
+        )
     )
 
 

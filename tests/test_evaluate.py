@@ -120,3 +120,9 @@ def test_report_text(scored):
     text = evaluate.format_report(evaluate.classification_report(scored))
     assert [line.split()[0] for line in text.splitlines()] == ["precision", "0", "1", "accuracy", "macro", "weighted"]
     assert text.splitlines()[-1].split()[-1] == "600"
+
+
+def test_empty_and_one_valued_tables(spark, scored):
+    assert evaluate.roc_auc(scored.limit(0)).first()[0] is None
+    assert evaluate.roc_auc(scored_frame(spark, [(1, 0.0), (0, 0.0)])).first()[0] == 0.5
+    assert evaluate.roc_points(scored.limit(0)).count() == 1
