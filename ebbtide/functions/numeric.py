@@ -21,6 +21,17 @@ def safe_divide(numerator: Column, denominator: Column, default: float | None =
     return F.when(denominator != 0, quotient).otherwise(fallback)
 
 
+def half_even_sql(value: str, places: int) -> str:
+    """SQL text of ``half_even``."""
+    scale = f"{float(10**places)!r}D"
+    return f"(rint(({value}) * {scale}) / {scale})"
+
+
+def clamp_sql(value: str, low: float, high: float) -> str:
+    """SQL text of ``clamp``."""
+    return f"CASE WHEN {value} IS NOT NULL THEN greatest({low!r}D, least({high!r}D, {value})) END"
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     """Limit to the inclusive range; null stays null."""
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))

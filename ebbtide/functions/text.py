@@ -30,18 +30,20 @@ def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
-def answered(df: DataFrame, name: str, word: str, number: int | None = None) -> Column:
-    """True where ``name`` holds ``word`` (text column) or ``number`` (numeric column).
+def answered_sql(df: DataFrame, name: str, word: str, number: int | None = None) -> str:
+    """SQL text: whether ``name`` holds ``word`` (text column) or ``number`` (numeric column).
 
-    Never null: an absent column, a null or any other value is False.
+    Never null: an absent column, a null or any other value is false.
     """
     if name not in df.columns:
-        return F.lit(False)
+        return "false"
     if is_text(df, name):
-        return F.coalesce(F.col(name) == word, F.lit(False))
-    if number is None:
-        return F.lit(False)
-    return F.coalesce(F.col(name) == number, F.lit(False))
+        return f"coalesce(`{name}` = '{word}', false)"
+    return "false" if number is None else f"coalesce(`{name}` = {number}, false)"
+
+
+def answered(df: DataFrame, name: str, word: str, number: int | None = None) -> Column:
+    return F.expr(answered_sql(df, name, word, number))
 
 
 def yes(df: DataFrame, name: str) -> Column:

@@ -92,7 +92,7 @@ def tenure_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
     )
     bin_of = equal_bin(F.col("tenure").cast("double"), F.col("_span.low"), F.col("_span.high"), bins)
     return (
-        counts.withColumn("_span", _range_of(df, "tenure"))
+        counts.withColumn("_span", _range_of(counts, "tenure"))
         .groupBy("label_name", bin_of.alias("bin"))
         .agg(F.sum("n").alias("n"))
     )

@@ -67,3 +67,13 @@ def test_areas_have_no_window_over_all_rows(spark, sf):
     text = plan(evaluate.score_counts(rule_scored(spark, sf)))
     windows = [line for line in text.splitlines() if "Window [" in line]
     assert any("_range" in line.split("], [")[1] for line in windows)
+
+
+def test_copies_collapse_before_their_shuffle(spark, table):
+    """A row that makes up most of the table leaves one copy per task."""
+    many = table.limit(1).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("i")
+    copied = many.union(table)
+    lean = clean.drop_copies(copied)
+    text = plan(lean)
+    assert text.count("HashAggregate") == 2 and text.count("hashpartitioning") == 1
+    assert lean.count() == table.count()
