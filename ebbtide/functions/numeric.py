@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,11 +44,11 @@ def bin_label(
     """
     if len(edges) != len(labels) + 1:
         raise ValueError("bins need one more edge than labels")
-    chain = None
-    for low, high, label in zip(edges, edges[1:], labels):
-        # NaN compares greater than every number in Spark, so test for it.
-        inside = (value > low) & ((value <= high) if math.isfinite(high) else ~F.isnan(value))
-        chain = F.when(inside, label) if chain is None else chain.when(inside, label)
+    # Each row takes the first upper edge that holds it, so lower edges need no test.
+    chain = F.when(value <= edges[0], outside)
+    for high, label in zip(edges[1:], labels):
+        # NaN compares greater than infinity in Spark: no bin holds it.
+        chain = chain.when(value <= high, label)
     return chain.otherwise(F.lit(outside))
 
 

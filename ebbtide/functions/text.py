@@ -61,4 +61,4 @@ def holds(condition: Column) -> Column:
 
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0 (null counts as not holding)."""
-    return holds(condition).cast("int")
+    return F.when(condition, 1).otherwise(0)

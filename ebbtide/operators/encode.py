@@ -44,8 +44,10 @@ class Encoding:
 
 
 def fill_unknown(df: DataFrame) -> DataFrame:
-    """Null categoricals become the level "Unknown"."""
-    present = [name for name in S.CATEGORICAL_COLUMNS if name in df.columns]
+    """Null categoricals become the level "Unknown"; engineered ones are never null."""
+    present = [
+        f.name for f in df.schema.fields if f.name in S.CATEGORICAL_COLUMNS and f.nullable
+    ]
     return df.fillna(UNKNOWN, subset=present) if present else df
 
 

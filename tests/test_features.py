@@ -124,3 +124,18 @@ def test_risk_buckets_over_the_whole_range(spark):
     assert rows(done, "RetentionRiskScore", "RetentionRiskBucket") == [
         (0, "Minimal"), (1, "Minimal"), (2, "Low"), (3, "Moderate"), (4, "High"), (5, "Critical"), (6, "Critical"),
     ]
+
+
+def test_generated_code_of_the_features_is_short_enough_to_be_compiled(spark, tmp_path):
+    """The JVM never compiles methods above 8,000 bytes, and a large projection becomes one method."""
+    import re
+
+    from ebbtide.plans.preprocessing import prepare_scoring
+    from ebbtide.sources.generator import generate_customers
+
+    path = str(tmp_path / "raw")
+    generate_customers(spark, 10).write.parquet(path)
+    plan = prepare_scoring(spark.read.parquet(path))._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) <= 8000
