@@ -1,6 +1,6 @@
 """Joins within buckets: rows that share a bucket are compared, each pair once.
 
-`members` has (bucket long, id). `payload` has (id, weight long, data...), one row per id. The links come back as
+`members` has (bucket, id), both long. `payload` has (id, weight, data...), one row per id. The links come back as
 counts per id and as star edges, never as all pairs, so a group of n alike rows costs n rows.
 """
 
@@ -63,69 +63,95 @@ def _labels(found: np.ndarray, square: bool) -> np.ndarray:
         label = after
 
 
-def link(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
-    """(id, n, root): n is the weight linked to id in one pair of blocks, root an id linked to it, if any.
+def in_blocks(rows: DataFrame, data: list[str], handle: Callable, schema: str) -> DataFrame:
+    """Rows (bucket, left, right, own, id, data...) by pair of blocks: handle(bucket, a, b) yields tuples of the schema.
 
-    alike(a, b) gets lists of tuples of the `data` columns and returns a boolean matrix. A pair is counted in the
-    smallest bucket that both are in, so no pair counts twice. Sum n per id for its links; (id, root) are the edges.
+    a and b are lists of (id, data...); b is a where a block meets itself. Pairs of blocks without a pair are left out.
     """
-    spark = members.sparkSession
-    members = without_repeats(members)
-    lists = members.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
-    rows = block_pairs(members, limit).join(payload.join(lists, "id"), "id")
-    kind = rows.schema["id"].dataType
-    columns = ["bucket", "left", "right", "own", "id", "weight", "buckets", *data]
     keys = ["bucket", "left", "right"]
-    rows = rows.select(*columns).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "own", "id")
-
-    def verify(key: tuple, group: list[tuple], out: list) -> None:
-        bucket, left, right = key
-        one = left == right
-        a = [r for r in group if r[0] == left]
-        b = a if one else [r for r in group if r[0] == right]
-        if not b or not a or one and len(a) < 2:
-            return
-        found = alike([r[4:] for r in a], [r[4:] for r in b])
-        if one:
-            np.fill_diagonal(found, False)
-        if not found.any():
-            return
-        found &= ~_met_before([r[3] for r in a], bucket, [r[3] for r in b])
-        if not found.any():
-            return
-        every = a if one else [*a, *b]
-        label = _labels(found, one)
-        counts = found @ np.array([r[2] for r in b])
-        if not one:
-            counts = np.concatenate((counts, found.T @ np.array([r[2] for r in a])))
-        for i, r in enumerate(every):
-            if counts[i]:
-                out.append((r[1], int(counts[i]), every[label[i]][1]))
+    columns = [*keys, "own", "id", *data]
+    rows = rows.select(*columns).repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "own", "id")
+    kinds = pa.schema([(f.split(" ")[0], pa.int64()) for f in schema.split(", ")])
 
-    schema = pa.schema([("id", pa.string() if kind.typeName() == "string" else pa.int64()), ("n", pa.int64())])
-    schema = schema.append(pa.field("root", schema.field("id").type))
+    def pairs(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        a = [r[1:] for r in group if r[0] == key[1]]
+        b = a if key[1] == key[2] else [r[1:] for r in group if r[0] == key[2]]
+        if a and b and (a is not b or len(a) > 1):
+            yield from handle(key[0], a, b)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
         for batch in batches:
-            tables = [batch.column(i) for i in range(len(columns))]
-            names = list(zip(*(t.to_pylist() for t in tables[:6])))
-            flat = tables[6].flatten().to_numpy(zero_copy_only=False)
-            at = np.concatenate(([0], np.cumsum(tables[6].value_lengths().to_numpy(zero_copy_only=False))))
-            for i, (bucket, left, right, own, who, weight) in enumerate(names):
+            fixed = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            values = [_cells(batch.column(i)) for i in range(5, len(columns))]
+            for i, (bucket, left, right, own, who) in enumerate(fixed):
                 if (bucket, left, right) != key:
                     if key is not None:
-                        verify(key, group, out)
+                        out += pairs(key, group)
                     key, group = (bucket, left, right), []
                 # A repeated input row has the same id; one is enough.
                 if not group or group[-1][:2] != (own, who):
-                    group.append((own, who, weight, flat[at[i] : at[i + 1]], *(t[i] for t in tables[7:])))
+                    group.append((own, who, *(v(i) for v in values)))
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "n", "root"), r)) for r in out], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kinds)
                 out = []
         if key is not None:
-            verify(key, group, out)
-        yield pa.RecordBatch.from_pylist([dict(zip(("id", "n", "root"), r)) for r in out], schema=schema)
+            out += pairs(key, group)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kinds)
+
+    return rows.mapInArrow(task, schema)
+
+
+def _cells(column: pa.Array) -> Callable:
+    """A function from a place to its value: an array for lists, a string for texts."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+        return lambda i: flat[at[i] : at[i + 1]]
+    return lambda i: column[i].as_py()
+
+
+def plausible(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
+    """The members that alike() pairs with another one of the same bucket, by a cheaper look than link's."""
+
+    def handle(bucket: int, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        found = alike(a, b)
+        if a is b:
+            np.fill_diagonal(found, False)
+        for i in np.flatnonzero(found.any(axis=1)):
+            yield bucket, a[i][0]
+        for i in np.flatnonzero(found.any(axis=0)) if a is not b else ():
+            yield bucket, b[i][0]
+
+    rows = block_pairs(without_repeats(members), limit).join(payload, "id")
+    return in_blocks(rows, data, handle, "bucket bigint, id bigint").distinct()
+
+
+def link(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
+    """(id, n, root): n is the weight linked to id in one pair of blocks, root an id linked to it.
+
+    alike(a, b) gets lists of (id, buckets, weight, data...) and returns a boolean matrix. A pair is counted in the smallest
+    bucket that both are in, so no pair counts twice. Sum n per id for its links; (id, root) are the edges.
+    """
+    members = without_repeats(members)
+    lists = members.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    rows = block_pairs(members, limit).join(payload.join(lists, "id"), "id")
+
+    def handle(bucket: int, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        found = alike(a, b)
+        if a is b:
+            np.fill_diagonal(found, False)
+        if found.any():
+            found &= ~_met_before([r[1] for r in a], bucket, [r[1] for r in b])
+        if not found.any():
+            return
+        every = a if a is b else [*a, *b]
+        label = _labels(found, a is b)
+        counts = found @ np.array([r[2] for r in b])
+        if a is not b:
+            counts = np.concatenate((counts, found.T @ np.array([r[2] for r in a])))
+        for i in np.flatnonzero(counts):
+            yield every[i][0], int(counts[i]), every[label[i]][0]
 
-    text = kind.simpleString()
-    return rows.mapInArrow(task, f"id {text}, n bigint, root {text}")
+    return in_blocks(rows, ["buckets", "weight", *data], handle, "id bigint, n bigint, root bigint")

@@ -118,7 +118,7 @@ def filters(vertices: DataFrame, book: int, caps: float) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple[int, int], Codes] = {}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            names = batch.column(0).to_numpy()
             _, rows = unit(batch.column(1).to_pylist())
             by_length: dict[int, list[int]] = {}
             for i, row in enumerate(rows):
@@ -133,14 +133,14 @@ def filters(vertices: DataFrame, book: int, caps: float) -> DataFrame:
                         salt = np.uint64((dim * TURNS + turn) * 0x9E3779B97F4A7C15 % (1 << 64))
                         bucket = mix(np.concatenate(found) + salt).view(np.int64)
                         who = np.repeat(names[some], [len(f) for f in found])
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(who, pa.string())], names=["bucket", "id"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(who)], names=["bucket", "id"])
 
-    return vertices.select("id", "embedding").mapInArrow(task, "bucket bigint, id string")
+    return vertices.select("id", "embedding").mapInArrow(task, "bucket bigint, id bigint")
 
 
 def alike_vectors(threshold: float):
     def matrix(rows: list[tuple]) -> np.ndarray:
-        x = np.array([r[0].values.to_numpy(zero_copy_only=False) for r in rows], dtype=np.float64)
+        x = np.array([r[-1] for r in rows], dtype=np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -159,8 +159,9 @@ def cap_join(vectors: DataFrame, threshold: float = 0.9, caps: float = 56.0, per
     rows = work.keep(digests(vectors))
     vertices = work.keep(
         rows.where("digest IS NOT NULL")
-        .groupBy(F.col("digest").alias("id"))
+        .groupBy("digest")
         .agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.any_value("embedding").alias("embedding"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
     book = max(8, round((per_row / TURNS * max(1, vertices.count())) ** (1 / BLOCKS)))
     members = work.keep(filters(vertices, book, caps))
@@ -170,7 +171,7 @@ def cap_join(vectors: DataFrame, threshold: float = 0.9, caps: float = 56.0, per
     classes = vertices.drop("embedding").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = classes.join(least, "root").select(
-        F.col("id").alias("digest"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+        "digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     out = rows.select("vec_id", "digest").join(classes, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

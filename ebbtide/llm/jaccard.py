@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ebbtide.llm.buckets import link
+from ebbtide.llm.buckets import link, plausible
 from ebbtide.llm.graph import components
 from ebbtide.llm.text import minhash, shingles, slices
 from ebbtide.llm.workspace import Workspace
@@ -98,7 +98,8 @@ def tree(vertices: DataFrame, work: Workspace, runs: int, small: int, same: floa
     )
     leaves = []
     for depth in range(DEPTH):
-        level = work.keep(level)
+        if depth:
+            level = work.keep(level)
         counts = work.keep(
             level.groupBy("node", "place", "bucket").agg(F.count("*").alias("n")).where("n > 1")
         )
@@ -142,14 +143,27 @@ def tree(vertices: DataFrame, work: Workspace, runs: int, small: int, same: floa
     return out.distinct()
 
 
+def alike_sketches(least: float):
+    """Whether sketches agree at enough places; the last field of the rows."""
+
+    def alike(a: list[tuple], b: list[tuple]) -> np.ndarray:
+        x, y = np.array([r[-1] for r in a]), np.array([r[-1] for r in b])
+        agree = np.zeros((len(a), len(b)), dtype=np.int16)
+        for k in range(x.shape[1]):
+            agree += x[:, k, None] == y[None, :, k]
+        return agree >= least * x.shape[1]
+
+    return alike
+
+
 def alike_sets(threshold: float, words: int = 5):
-    """The boolean matrix of Jaccard >= threshold between two lists of texts (their digests before them)."""
+    """Whether the Jaccard similarity of two texts reaches the threshold; the last field of the rows."""
 
     def sets(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        return shingles([r[0].as_py() for r in rows], words)
+        return shingles([r[-1] for r in rows], words)
 
     def alike(a: list[tuple], b: list[tuple]) -> np.ndarray:
-        one = a is b or len(a) == len(b) and all(x is y for x, y in zip(a, b))
+        one = a is b
         left, at = sets(a)
         right, to = (left, at) if one else sets(b)
         sizes, others = np.diff(at), np.diff(to)
@@ -196,29 +210,35 @@ def jaccard_join(
     """
     work = Workspace(docs.sparkSession, "jaccard")
     rows = work.keep(sketches(docs, words))
+    first = F.struct("doc_id", "check")
+    vertices = rows.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.count("*").alias("weight"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch")
+    )
+    # The numbers are drawn once, when the table is written.
     vertices = work.keep(
-        rows.where("digest IS NOT NULL")
-        .groupBy(F.col("digest").alias("id"))
-        .agg(F.count("*").alias("weight"), F.min_by(F.struct("doc_id", "check"), F.struct("doc_id", "check")).alias("first"), F.any_value("sketch").alias("sketch"))
-        .select("id", "weight", F.col("first.doc_id").alias("doc_id"), F.col("first.check").alias("check"), "sketch")
+        vertices.select(F.monotonically_increasing_id().alias("id"), "digest", "weight", "first.doc_id", "first.check", "sketch")
     )
-    members = work.keep(tree(vertices.select("id", "sketch"), work, runs_for(recall, threshold), small))
+    slim = vertices.select("id", "sketch")
+    members = work.keep(tree(slim, work, runs_for(recall, threshold), small))
+    # Texts are fetched only for those whose sketch agrees with another one's; four deviations spare a true pair.
+    slack = 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
+    members = work.keep(plausible(members, slim, ["sketch"], alike_sketches(threshold - slack)))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("check"), text.alias("text"))
-    known = vertices.join(members.select("id").distinct(), "id", "left_semi").drop("sketch")
+    known = vertices.select("id", "weight", "doc_id", "check").join(members.select("id").distinct(), "id", "left_semi")
     payload = known.join(texts, (known.doc_id.eqNullSafe(texts.doc_id)) & (known.check == texts.check)).select("id", "weight", "text")
     found = work.keep(link(members, payload, ["text"], alike_sets(threshold, words)))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), work)
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
     classes = (
-        vertices.select("id", "weight", F.col("doc_id").alias("first"))
+        vertices.select("id", "digest", "weight", F.col("doc_id").alias("first"))
         .join(links, "id", "left")
         .join(roots, "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
     )
     least = classes.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = classes.join(least, "root").select(
-        F.col("id").alias("digest"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     return rows.select("doc_id", "check", "digest").join(classes, "digest", "left").select(
         "doc_id",
