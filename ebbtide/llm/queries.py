@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ebbtide.llm import blobs, caps, fingerprints, jaccard, packing, sharding, urls
+from ebbtide.llm import blobs, caps, fingerprints, jaccard, licenses, mixing, packing, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return found.select(
@@ -32,6 +36,35 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.learned(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = toxicity.scored(docs.select("doc_id", "text", "lang"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+        model.rejects(F.col("lang"), F.col("toxicity")).alias("rejected"),
+    )
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = mixing.mixed(docs, labels, keep=["doc_id"])
+    shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.TARGETS)]
+    return found.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -63,10 +96,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_license_scans": op3_license_scans,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_spherical_caps": op8_spherical_caps,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scans": licenses.oracle()}
