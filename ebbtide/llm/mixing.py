@@ -71,8 +71,8 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], column: str =
     known = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # A side of at most `most` ids.
-    rows = docs.where(F.col(column).isin(domains)).select("doc_id", F.col(column).alias("domain"), buckets(F.col("text")).alias("listed"))
-    rows = rows.join(F.broadcast(sample), "doc_id")
+    rows = docs.where(F.col(column).isin(domains)).select("doc_id", F.col(column).alias("domain"), "text")
+    rows = rows.join(F.broadcast(sample), "doc_id").select("domain", buckets(F.col("text")).alias("listed"))
     counted = rows.select("domain", F.explode("listed").alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n"))
     # BUCKETS numbers for each domain, and one for the documents.
     counts = np.zeros((len(domains), BUCKETS))
