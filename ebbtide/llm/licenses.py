@@ -52,11 +52,6 @@ def shingle_hashes(listed: Column) -> Column:
     )
 
 
-def windows(n: Column) -> Column:
-    """Where the windows over n shingles begin."""
-    return F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STRIDE))
-
-
 def band_values(hashes: Column) -> Column:
     """(band, value) of a window's shingle hashes: the smallest under each of the hash functions."""
     return F.transform(
@@ -91,12 +86,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     some = F.exists("hashes", lambda h: h.isin(telling))
     near = work.keep(hashed.where(some).withColumn("row", F.monotonically_increasing_id()))
     hits = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda x: x["h"].isin(telling))
-    near = near.withColumn("hits", hits)
-    # The windows in which a telling shingle stands.
-    covering = F.filter(
-        windows(F.size("hashes")),
-        lambda s: F.exists("hits", lambda x: (x["at"] >= s) & (x["at"] < s + WINDOW - SHINGLE + 1)),
-    )
+    near = work.keep(near.withColumn("hits", hits))
+    # The windows in which a telling shingle stands: the one begun last before it, and those before that reach it.
+    width = WINDOW - SHINGLE + 1
+    last = lambda x: x["at"] - x["at"] % STRIDE
+    reach = F.transform("hits", lambda x: F.filter(F.sequence(F.greatest(last(x) - width, F.lit(0)), last(x)), lambda s: (s % STRIDE == 0) & (s + width > x["at"])))
+    covering = F.array_distinct(F.flatten(reach))
     ours = banded(near.select("row", "hashes", covering.alias("starts")), "row")
     theirs = banded(known.withColumn("starts", F.sequence(F.lit(0), F.size("hashes") - 1)), "license")
     candidates = ours.join(F.broadcast(theirs), ["band", "value"]).select("row", "license").distinct()
