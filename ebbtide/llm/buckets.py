@@ -113,7 +113,11 @@ def _cells(column: pa.Array) -> Callable:
 
 
 def plausible(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
-    """The members that alike() pairs with another one of the same bucket, by a cheaper look than link's."""
+    """The members that alike() pairs with another one of the same bucket, by a cheaper look than link's.
+
+    Buckets beyond the limit aren't looked at: all their members stay, so they cost one row a member.
+    """
+    members = without_repeats(members)
 
     def handle(bucket: int, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
         found = alike(a, b)
@@ -124,8 +128,9 @@ def plausible(members: DataFrame, payload: DataFrame, data: list[str], alike: Ca
         for i in np.flatnonzero(found.any(axis=0)) if a is not b else ():
             yield bucket, b[i][0]
 
-    rows = block_pairs(without_repeats(members), limit).join(payload, "id")
-    return in_blocks(rows, data, handle, "bucket bigint, id bigint").distinct()
+    rows = block_pairs(members.where(F.col("n") <= limit), limit).join(payload, "id")
+    looked = in_blocks(rows, data, handle, "bucket bigint, id bigint").distinct()
+    return looked.union(members.where(F.col("n") > limit).select("bucket", "id"))
 
 
 def link(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
