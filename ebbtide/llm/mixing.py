@@ -26,7 +26,8 @@ from ebbtide.llm.workspace import Workspace
 
 #: Hashed words, the words that a text's evidence counts for at most, and labelled documents in the sample.
 BUCKETS, EVIDENCE, MOST = 1 << 12, 8.0, 4000
-STEPS, CLOSE = 60, 1e-9
+#: Steps at most; how near the targets the sums are to be, and the move below which they stand, as shares of all tokens.
+STEPS, CLOSE, STILL = 60, 1e-6, 1e-7
 
 # The target weights of the registered query and the pipeline.
 TARGETS = {"en": 0.50, "fr": 0.18, "de": 0.18, "es": 0.14}
@@ -122,7 +123,7 @@ def fit(rows: DataFrame, targets: np.ndarray, least: float = 0.0, total: float |
             *(F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"s{i}") for i in range(k))
         ).first()
         before, now = now, np.array([row[f"s{i}"] for i in range(k)])
-        if np.abs(now - before).max() <= 1e-3 * CLOSE * total:
+        if np.abs(now - before).max() <= STILL * total:
             break  # as near as nonnegative rates get
     return steps
 
