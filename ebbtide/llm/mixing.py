@@ -27,7 +27,7 @@ from ebbtide.llm.workspace import Workspace
 #: Hashed words, the words that a text's evidence counts for at most, and labelled documents in the sample.
 BUCKETS, EVIDENCE, MOST = 1 << 12, 8.0, 4000
 #: Steps at most; how near the targets the sums are to be, and the move below which they stand, as shares of all tokens.
-STEPS, CLOSE, STILL = 60, 1e-6, 1e-7
+STEPS, CLOSE, STILL = 60, 1e-4, 1e-5
 
 # The target weights of the registered query and the pipeline.
 TARGETS = {"en": 0.50, "fr": 0.18, "de": 0.18, "es": 0.14}
