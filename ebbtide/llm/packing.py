@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from ebbtide.llm.workspace import Workspace, partitions
 
 #: Pieces of a block, islands of a block, epochs, packings of an island, and crossings in an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, CROSSINGS = 2048, 2, 2, 4, 12
+BLOCK, ISLANDS, EPOCHS, POPULATION, CROSSINGS = 8192, 2, 2, 4, 12
 #: Bins filled less are dissolved between rounds; rounds at most.
-FULL, ROUNDS = 0.995, 4
+FULL, ROUNDS = 0.999, 4
 END = 2
 
 
