@@ -22,7 +22,7 @@ from ebbtide.shared import shared_dir, stored
 from ebbtide.sources import customers, reports
 from ebbtide.sources.generator import generate_from_keys
 from ebbtide.sources.subscribers import subscribers, subscribers_with_key
-from ebbtide.streaming.scoring import drop_repeats, read_events, score_events, write_scores
+from ebbtide.streaming.scoring import read_events, score_events, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,7 +367,7 @@ def stream_scores(spark, sf_dir):
     """The events as a stream, all of what is there, read back from the sink."""
     folder = shared_dir(spark, "stream")
     known = rule_scorer(subscribers_with_key(spark, sf_dir)).select("c_custkey", S.PROBABILITY)
-    scored = score_events(drop_repeats(read_events(spark, sf_dir)), known)
+    scored = score_events(read_events(spark, sf_dir), known)
     write_scores(scored, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/scores").drop("batch")
 
@@ -514,7 +514,8 @@ def correlation(spark, sf_dir):
 
 @query
 def correlation_top_variance(spark, sf_dir):
-    return insights.correlation(prepared(spark, sf_dir))
+    df = prepared(spark, sf_dir)
+    return insights.correlation(df, insights.most_varied(df))
 
 
 @query

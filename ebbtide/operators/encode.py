@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ebbtide import schema as S
 
 UNKNOWN = "Unknown"
-MAX_LEVELS = 1000
 
 
 @dataclass(frozen=True)
@@ -55,13 +54,11 @@ def feature_inputs(df: DataFrame, exclude: tuple[str, ...] = (S.ID, S.TARGET, S.
     return [name for name in df.columns if name not in exclude]
 
 
-def fit_encoding(
-    df: DataFrame, inputs: list[str] | None = None, max_levels: int = MAX_LEVELS
-) -> Encoding:
+def fit_encoding(df: DataFrame, inputs: list[str] | None = None) -> Encoding:
     """Learn levels, means and population sigmas from ``df``.
 
-    Two aggregates; what reaches the driver is one row of moments and at most
-    ``max_levels`` levels per categorical column (checked before they are fetched).
+    Two aggregates; what reaches the driver is one row of moments and the levels, which
+    are as many as the encoded columns that the caller asks for.
     """
     inputs = feature_inputs(df) if inputs is None else inputs
     categoricals = [name for name in S.CATEGORICAL_COLUMNS if name in inputs]
@@ -73,11 +70,7 @@ def fit_encoding(
         F.count(F.lit(1)).alias("_rows"),
         *[F.avg(name).alias(f"mean_{name}") for name in numerics],
         *[F.stddev_pop(name).alias(f"sigma_{name}") for name in numerics],
-        *[F.approx_count_distinct(name).alias(f"levels_{name}") for name in categoricals],
     ).first()
-    too_wide = [name for name in categoricals if moments[f"levels_{name}"] > max_levels]
-    if too_wide:
-        raise ValueError(f"more than {max_levels} levels to one-hot encode in {too_wide}")
 
     levels: dict[str, list[str]] = {name: [] for name in categoricals}
     if categoricals:
@@ -102,8 +95,13 @@ def fit_encoding(
 
 
 def encoded_columns(df: DataFrame, encoding: Encoding) -> dict[str, Column]:
-    """Every encoded column by name, in order: pass-through, scaled, one-hot."""
-    columns = {name: F.col(name).cast("double") for name in encoding.passthrough}
+    """Every encoded column by name, in order: pass-through, scaled, one-hot.
+
+    A pass-through column that the input lacks is 0.
+    """
+    columns = {
+        name: F.col(name).cast("double") if name in df.columns else F.lit(0.0) for name in encoding.passthrough
+    }
     for name, mean in encoding.means.items():
         columns[name] = (F.col(name).cast("double") - F.lit(mean)) / F.lit(encoding.sigmas[name])
     for name, levels in encoding.levels.items():

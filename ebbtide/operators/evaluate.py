@@ -27,15 +27,22 @@ def _hits() -> dict[str, Column]:
 
 
 def score_counts(scored: DataFrame, groups: list[str] | None = None) -> DataFrame:
-    """Positives and negatives at and above every distinct probability."""
+    """Positives and negatives at and above every distinct probability.
+
+    A row without a probability ranks below all others, at -1, so it is never flagged and always counted.
+    """
+    scored = scored.withColumn(S.PROBABILITY, F.coalesce(S.PROBABILITY, F.lit(-1.0)))
     return running_counts(scored, S.PROBABILITY, _hits(), groups, descending=True)
 
 
 def confusion_counts(
     scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD, groups: list[str] | None = None
 ) -> DataFrame:
-    """tp, fp, fn, tn per group, from one aggregate; always all four."""
-    churn, flagged = F.col(S.LABEL) == 1, F.col(S.PROBABILITY) >= threshold
+    """tp, fp, fn, tn per group, from one aggregate; always all four.
+
+    A row without a probability isn't flagged.
+    """
+    churn, flagged = F.col(S.LABEL) == 1, F.coalesce(F.col(S.PROBABILITY) >= threshold, F.lit(False))
     stay = F.col(S.LABEL) == 0
     return scored.groupBy(*(groups or [])).agg(
         F.count_if(churn & flagged).alias("tp"),

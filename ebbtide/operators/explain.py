@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide import schema as S
-from ebbtide.functions.numeric import half_even, uniform
+from ebbtide.functions.numeric import half_even
 from ebbtide.operators.evaluate import roc_auc
 from ebbtide.operators.ranking import exact_quantiles
 from ebbtide.operators.score import Scorer, rule_terms
@@ -256,28 +256,40 @@ def with_neighbour(
     repeats: int,
     seed: int = S.SEED,
     key: str = S.ID,
-    bucket_rows: int = 200_000,
+    cuts: int | None = None,
 ) -> DataFrame:
     """Per repeat a random reordering of ``payload``: adds ``repeat`` and ``neighbour``.
 
-    Rows are spread over hash buckets of about ``bucket_rows`` rows and passed on by
-    one place in a random order of the bucket, the last row wrapping to the first.
-    Every payload is used exactly once per repeat and nothing is sorted globally.
+    All rows stand in one random order per repeat, and each takes the payload of the next, the
+    last that of the first. The order is cut by the leading digits of a row's place; the last
+    row of a cut takes the first payload of the next cut, from a table of one row per repeat and
+    cut. So the answer is the same for any number of ``cuts`` (the shuffle partitions by default).
     """
-    buckets = max(1, -(-df.count() // bucket_rows))
     parts = shuffle_partitions(df.sparkSession)
+    cuts = min(cuts or parts, 1 << 16)
     place = F.concat(F.col(key).cast("string"), F.lit(f":shift{seed}:"), F.col("repeat").cast("string"))
-    around = Window.partitionBy("repeat", "_bucket").orderBy("_place", key)
-    return (
+    digits = F.conv(F.substring("_place", 1, 4), 16, 10).cast("bigint")
+    placed = (
         df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("_bucket", F.floor(uniform(key, f"bucket{seed}") * buckets))
         .withColumn("_place", F.md5(place))
+        .withColumn("_cut", F.floor(digits * cuts / 65536).cast("int"))
         .withColumn("_payload", payload)
+    )
+    firsts = placed.groupBy("repeat", "_cut").agg(F.min_by("_payload", F.struct("_place", key)).alias("_first"))
+    by_cut = Window.partitionBy("repeat").orderBy("_cut")
+    whole = by_cut.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.when(F.lead("_cut").over(by_cut).isNotNull(), F.lead("_first").over(by_cut)).otherwise(F.first("_first").over(whole))
+    borders = firsts.select("repeat", "_cut", after.alias("_after"))
+    within = Window.partitionBy("repeat", "_cut").orderBy("_place", key)
+    return (
         # The partitioning of the window; a given number keeps the tasks apart although
         # the rows are few bytes, because scoring them is the expensive part.
-        .repartition(parts, "repeat", "_bucket")
-        .withColumn("neighbour", F.coalesce(F.lead("_payload").over(around), F.first("_payload").over(around)))
-        .drop("_bucket", "_place", "_payload")
+        placed.repartition(parts, "repeat", "_cut")
+        .withColumn("_last", F.lead("_place").over(within).isNull())
+        .withColumn("_next", F.lead("_payload").over(within))
+        .join(F.broadcast(borders), ["repeat", "_cut"])  # repeats x cuts rows at most
+        .withColumn("neighbour", F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next")))
+        .drop("_cut", "_place", "_payload", "_last", "_next", "_after")
     )
 
 

@@ -178,16 +178,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def correlation(df: DataFrame, top_n: int = 15) -> DataFrame:
-    """(x, y, corr): Pearson correlation of all pairs of numeric columns, both ways round.
+def most_varied(df: DataFrame, top_n: int = 15) -> list[str]:
+    """The ``top_n`` numeric columns with the largest variance, from one aggregate row."""
+    names = numeric_columns(df)
+    spread = df.agg(*[F.var_samp(f"`{name}`").alias(name) for name in names]).first()
+    return sorted(names, key=lambda name: -(spread[name] or 0.0))[:top_n]
+
 
-    Each pair uses the rows where both are present. With more than ``top_n`` columns
-    the ones with the largest variance are kept; their names come from one aggregate row.
+def correlation(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(x, y, corr): Pearson correlation of all pairs of the numeric columns, both ways round.
+
+    Each pair uses the rows where both are present. ``names`` takes some columns only.
     """
-    names = numeric_columns(df)
-    if len(names) > top_n:
-        spread = df.agg(*[F.var_samp(f"`{name}`").alias(name) for name in names]).first()
-        names = sorted(names, key=lambda name: -(spread[name] or 0.0))[:top_n]
+    names = numeric_columns(df) if names is None else names
     pairs = list(combinations_with_replacement(names, 2))
 
     def pearson(x: str, y: str) -> str:

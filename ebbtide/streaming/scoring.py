@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,11 +27,6 @@ def read_events(spark: SparkSession, folder: str, files: str = "events*.parquet"
     )
 
 
-def drop_repeats(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop events that come again within the delay; state is kept no longer than that."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def score_events(
     events: DataFrame,
     subscribers: DataFrame,
@@ -66,10 +62,23 @@ def score_events(
 
 
 def write_scores(scored: DataFrame, output: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write one folder per batch; a batch that is run again replaces its folder."""
+    """Write one folder per batch; a batch that is run again replaces its folder.
+
+    An event is written once however often and however late it comes: what the other batches
+    have is left out by its id. So no state is kept, and nothing is lost to a watermark.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        fresh = batch.dropDuplicates(["event_id"])
+        try:
+            written = batch.sparkSession.read.parquet(output)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            others = written.filter(F.col("batch") != batch_id).select("event_id")
+            fresh = fresh.join(others, "event_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:

@@ -76,10 +76,15 @@ def test_null_category_is_the_level_unknown(spark):
     assert sorted(tuple(r) for r in encode.apply_encoding(df, encoding).collect()) == [(0.0, 1.0), (1.0, 0.0)]
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("Contract"))
-    with pytest.raises(ValueError, match="Contract"):
-        encode.fit_encoding(df, max_levels=50)
+def test_any_number_of_levels(spark):
+    df = spark.range(1500).select(F.col("id").cast("string").alias("Contract"))
+    assert len(encode.fit_encoding(df).feature_columns) == 1500
+
+
+def test_absent_pass_through_column_is_zero(spark):
+    df = spark.createDataFrame([(1, "DSL")], "gender int, InternetService string")
+    encoding = encode.fit_encoding(df)
+    assert tuple(encode.apply_encoding(df.drop("gender"), encoding).first()) == (0.0, 1.0)
 
 
 def test_alignment(spark):

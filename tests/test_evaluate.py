@@ -126,3 +126,11 @@ def test_empty_and_one_valued_tables(spark, scored):
     assert evaluate.roc_auc(scored.limit(0)).first()[0] is None
     assert evaluate.roc_auc(scored_frame(spark, [(1, 0.0), (0, 0.0)])).first()[0] == 0.5
     assert evaluate.roc_points(scored.limit(0)).count() == 1
+
+
+def test_rows_without_a_probability_are_counted_as_not_flagged(spark):
+    rows = [(1, 0.9), (0, 0.2), (1, None), (0, None)]
+    scored = spark.createDataFrame(rows, f"{S.LABEL} int, {S.PROBABILITY} double")
+    counts = evaluate.confusion_counts(scored).first()
+    assert (counts["tp"], counts["fp"], counts["fn"], counts["tn"]) == (1, 0, 1, 2)
+    assert evaluate.metrics_table(scored).first()["n_samples"] == 4.0

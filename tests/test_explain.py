@@ -109,15 +109,17 @@ def test_sampled_shapley_adds_up(vectors):
         assert total[r[S.ID]] == pytest.approx(r[S.PROBABILITY])
 
 
-@pytest.mark.parametrize("bucket_rows", [7, 1000])
-def test_neighbours_are_a_reordering(vectors, bucket_rows):
-    shifted = explain.with_neighbour(vectors.select(S.ID), F.col(S.ID), 3, bucket_rows=bucket_rows).collect()
+@pytest.mark.parametrize("cuts", [1, 7, 64])
+def test_neighbours_are_a_reordering(vectors, cuts):
+    shifted = explain.with_neighbour(vectors.select(S.ID), F.col(S.ID), 3, cuts=cuts).collect()
     for repeat in range(3):
         own = [r for r in shifted if r["repeat"] == repeat]
         assert sorted(r["neighbour"] for r in own) == sorted(r[S.ID] for r in own)
         assert sum(r["neighbour"] == r[S.ID] for r in own) <= len(own) // 4
     orders = [tuple(r["neighbour"] for r in sorted(shifted, key=lambda r: r[S.ID]) if r["repeat"] == k) for k in range(3)]
     assert len(set(orders)) == 3
+    one = explain.with_neighbour(vectors.select(S.ID), F.col(S.ID), 3, cuts=1).collect()
+    assert {(r["repeat"], r[S.ID]): r["neighbour"] for r in shifted} == {(r["repeat"], r[S.ID]): r["neighbour"] for r in one}
 
 
 def test_importance_of_an_unused_column_is_zero(table):

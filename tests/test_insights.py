@@ -80,7 +80,7 @@ def test_correlation_is_pairwise_complete(spark):
 
 def test_correlation_keeps_the_widest_columns(spark):
     wide = spark.range(50).select(*[(F.rand(i) * i).alias(f"c{i}") for i in range(1, 21)])
-    found = insights.correlation(wide, top_n=4)
+    found = insights.correlation(wide, insights.most_varied(wide, 4))
     assert {r["x"] for r in found.collect()} == {"c17", "c18", "c19", "c20"} and found.count() == 16
 
 

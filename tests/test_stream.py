@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from ebbtide import schema as S
 from ebbtide.operators.score import rule_scorer
 from ebbtide.sources.subscribers import subscribers_with_key
-from ebbtide.streaming.scoring import EVENT_SCHEMA, drop_repeats, read_events, score_events, write_scores
+from ebbtide.streaming.scoring import EVENT_SCHEMA, read_events, score_events, write_scores
 
 SHOWN = ["event_id", "user_id", "ChurnProbability", "ChurnPrediction", "RiskLabel"]
 
@@ -17,7 +17,7 @@ def test_stream_equals_batch_and_drops_repeats(spark, sf, tmp_path):
     stranger = events.limit(1).withColumns({"event_id": F.lit(10**9), "user_id": F.lit(10**9)})
     repeated.union(stranger.select(events.columns)).repartition(4).write.parquet(str(folder))
 
-    scored = score_events(drop_repeats(read_events(spark, str(folder), "*.parquet")), known)
+    scored = score_events(read_events(spark, str(folder), "*.parquet"), known)
     write_scores(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     expected = score_events(events, known)
@@ -25,6 +25,13 @@ def test_stream_equals_batch_and_drops_repeats(spark, sf, tmp_path):
     unknown = found.filter("user_id = 1000000000").first()
     assert (unknown["ChurnProbability"], unknown["RiskLabel"]) == (None, "Very High Risk")
 
-    # A second run finds nothing new.
+    # A file a week older, with repeats of written events: only what is new comes out.
+    late = events.limit(10).withColumns({"event_id": F.col("event_id") + 2 * 10**9, "ts": F.col("ts") - F.expr("INTERVAL 7 DAYS")})
+    late.select(events.columns).union(events.limit(5)).write.mode("append").parquet(str(folder))
+    write_scores(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == events.count() + 11 and found.select("event_id").distinct().count() == found.count()
+
+    # A third run finds nothing new.
     write_scores(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == found.count()
