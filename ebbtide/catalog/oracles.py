@@ -464,7 +464,7 @@ SELECT {RAW} FROM raw"""
 RULE_INPUTS = list(TERMS)
 PERMUTATION = f"""WITH {SCORED},
 rows AS (SELECT customerID, label, {', '.join(RULE_INPUTS)}, rep.i AS repeat,
-    md5(customerID||':shift42:'||rep.i) AS place FROM scored CROSS JOIN unnest([0,1,2]) AS rep(i)),
+    md5(customerID||':shift42:'||rep.i) AS place FROM scored CROSS JOIN unnest(range(10)) AS rep(i)),
 shifted AS (SELECT *, {', '.join(
     f"coalesce(lead({n}) OVER w, first_value({n}) OVER w) AS nb_{n}" for n in RULE_INPUTS)}
   FROM rows WINDOW w AS (PARTITION BY repeat ORDER BY place, customerID)),
@@ -534,11 +534,10 @@ def report() -> str:
 
 def cv() -> str:
     metrics = {"accuracy": ACCURACY, "precision": PRECISION, "recall": RECALL, "f1_score": F1, "roc_auc": "auc"}
-    fold = f"floor({u('fold42', 'customerID')}*5)::int"
     long = " UNION ALL ".join(
         f"SELECT '{name}' AS metric, {r(sql, 4)} AS value FROM measured" for name, sql in metrics.items()
     )
-    return f"""WITH {SCORED}, folded AS (SELECT *, {fold} AS fold FROM scored),
+    return f"""WITH {SCORED}, folded AS (SELECT *, {FOLD} AS fold FROM scored),
     counts AS (SELECT fold, {confusion('p >= 0.5')} FROM folded GROUP BY fold),
     areas AS ({auc_sql('folded', 'fold')}),
     measured AS (SELECT * FROM counts JOIN areas USING (fold)), long AS ({long})
@@ -553,6 +552,7 @@ def profile(table: str, names: list[str], kinds: dict[str, str]) -> str:
     )
 
 
+FOLD = f"((row_number() OVER (PARTITION BY label ORDER BY {u('fold42', 'customerID')}, customerID) - 1) % 5)::int"
 SPLIT_LIMIT = "round(count(*) OVER (PARTITION BY label) * 0.2)"
 LABELLED = f"{SUBS}, labelled AS (SELECT customerID, (Churn='Yes')::int AS label FROM raw)"
 
@@ -561,6 +561,28 @@ EDGES = "quantile_cont(feature_value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])"
 ORACLES: dict[str, str] = {
     "subscriber_view": f"WITH {SUBS} SELECT {RAW} FROM raw",
     "csv_round_trip": f"WITH {SUBS} SELECT {RAW} FROM raw",
+    "csv_null_tokens": f"WITH {SUBS}, drawn AS (SELECT *, {u('token', 'customerID')} AS d FROM raw) SELECT customerID, "
+    "CASE WHEN d >= 0.1 THEN Contract END AS Contract, "
+    "CASE WHEN d < 0.1 OR d >= 0.2 THEN PaymentMethod END AS PaymentMethod, "
+    "CASE WHEN d < 0.2 OR d >= 0.3 THEN gender END AS gender, "
+    "CASE WHEN d < 0.3 OR d >= 0.4 THEN TotalCharges END AS TotalCharges FROM drawn",
+    "upload_scores": f"WITH {BATCH} SELECT customerID, ChurnProbability, ChurnPrediction, ChurnPrediction_Label, "
+    "RiskLabel, Recommendation FROM batch",
+    "importance_round_trip": f"WITH {ATTRIBUTION} SELECT feature, {r('avg(abs(phi))', 6)} AS importance "
+    "FROM attribution GROUP BY feature ORDER BY importance DESC, feature LIMIT 5",
+    "missing_columns": f"WITH {FAULTY} SELECT 'missing_columns' AS rule, 1::bigint AS violations "
+    "UNION ALL SELECT 'negative_tenure', count(*) FILTER (tenure < 0) FROM faulty "
+    "UNION ALL SELECT 'non_positive_charge', count(*) FILTER (MonthlyCharges <= 0) FROM faulty",
+    "nan_charges": f"WITH {TYPED}, bare AS (SELECT * REPLACE (CASE WHEN {u('nan_charge', 'customerID')} >= 0.05 "
+    "THEN MonthlyCharges END AS MonthlyCharges) FROM typed) SELECT customerID, MonthlyCharges, "
+    f"{FEATURE_SQL['SpendCategory']} AS SpendCategory, coalesce((MonthlyCharges >= 70)::int, 0) AS HighValueCustomer, "
+    f"{RISK_SCORE.replace('(MonthlyCharges>80)::int', 'coalesce((MonthlyCharges>80)::int, 0)')} AS RetentionRiskScore, "
+    "coalesce((MonthlyCharges > 80 AND Contract='Month-to-month')::int, 0) AS HighCharge_MTM FROM bare",
+    "unknown_levels": f"WITH {TYPED} SELECT customerID, "
+    f"({u('no_payment', 'customerID')} < 0.1)::int::double AS PaymentMethod_Unknown FROM typed",
+    "absent_columns": f"WITH {FEATURES} SELECT customerID, 0.0::double AS gender, 0.0::double AS PaperlessBilling, "
+    "Partner::double AS Partner, (RetentionRiskScore - (PaperlessBilling=1)::int)::double AS RetentionRiskScore "
+    "FROM features",
     "processed_round_trip": f"WITH {FEATURES}, m AS (SELECT {moments()} FROM features), "
     f"wide AS (SELECT {', '.join(f'sum({sql}) AS {chr(34)}{name}{chr(34)}' for name, sql in encoded_list(None))} "
     "FROM features, m) "
@@ -615,8 +637,12 @@ ORACLES: dict[str, str] = {
     f"<= {SPLIT_LIMIT} AS is_test FROM labelled",
     "split_counts": f"WITH {LABELLED} SELECT {u('split42', 'customerID')} < 0.2 AS is_test, count(*) AS n, "
     f"{r('avg(label)', 6)} AS churn_rate FROM labelled GROUP BY 1",
-    "fold_counts": f"WITH {LABELLED} SELECT floor({u('fold42', 'customerID')}*5)::int AS fold, label, "
-    "count(*) AS n FROM labelled GROUP BY 1, 2",
+    "fold_counts": f"WITH {LABELLED}, folded AS (SELECT {FOLD} AS fold, label FROM labelled) "
+    "SELECT fold, label, count(*) AS n FROM folded GROUP BY 1, 2",
+    "row_weights": f"WITH {LABELLED} SELECT label, 1.0::double AS weight_none, "
+    f"{r('(SELECT count(*) FROM labelled)::double / (2*count(*))', 9)} AS weight_balanced, "
+    "1.0::double AS weight_pos_1, (CASE label WHEN 1 THEN 2 ELSE 1 END)::double AS weight_pos_2, "
+    "(CASE label WHEN 1 THEN 3 ELSE 1 END)::double AS weight_pos_3, count(*) AS n FROM labelled GROUP BY label",
     "class_weights": f"WITH {LABELLED} SELECT label, count(*) AS n, "
     f"{r('(SELECT count(*) FROM labelled)::double / (2*count(*))', 9)} AS weight FROM labelled GROUP BY label",
     "rule_score": f"WITH {SCORED} SELECT customerID, {r(SCORE, 9)} AS score, {r('p', 9)} AS probability FROM scored",

@@ -100,6 +100,40 @@ def csv_round_trip(spark, sf_dir):
     return customers.load_raw_data(spark, f"{path}-absent", path)
 
 
+@query
+def csv_null_tokens(spark, sf_dir):
+    """Text that stands for a missing value, written to a CSV and read as null."""
+    path = shared_dir(spark, "tokens-csv")
+    draw = uniform(S.ID, "token")
+    df = subscribers(spark, sf_dir)
+    tokens = {"Contract": "N/A", "PaymentMethod": "NULL", "gender": "nan", "TotalCharges": "#N/A"}
+    marked = {
+        name: F.when((draw >= i / 10) & (draw < (i + 1) / 10), token).otherwise(F.col(name))
+        for i, (name, token) in enumerate(tokens.items())
+    }
+    customers.write_csv(df.withColumns(marked), path)
+    return customers.read_csv(spark, path).select(S.ID, *tokens)
+
+
+@query
+def upload_scores(spark, sf_dir):
+    """A CSV without the label, validated and scored."""
+    path = shared_dir(spark, "upload-csv")
+    customers.write_csv(subscribers(spark, sf_dir).drop(S.TARGET), path)
+    batch = score.predict_batch(customers.read_csv(spark, path), rule_scorer)
+    shown = ["ChurnProbability", "ChurnPrediction", "ChurnPrediction_Label", "RiskLabel", "Recommendation"]
+    return batch.select(S.ID, *shown)
+
+
+@query
+def importance_round_trip(spark, sf_dir):
+    """An importance table written, read and cut to its five strongest features."""
+    path = shared_dir(spark, "importance")
+    summary = explain.attribution_summary(stored(explain.linear_attribution(subscribers(spark, sf_dir))))
+    reports.save_importance(summary.select("feature", F.col("mean_abs_phi").alias("importance")), path)
+    return insights.top_importance(reports.load_feature_importance(spark, path), 5)
+
+
 @query
 def processed_round_trip(spark, sf_dir):
     folder = shared_dir(spark, "processed")
@@ -163,6 +197,11 @@ def validation_summary(spark, sf_dir):
     return clean.validation_summary(faulty(spark, sf_dir))
 
 
+@query
+def missing_columns(spark, sf_dir):
+    return clean.validation_summary(faulty(spark, sf_dir).drop("Contract"))
+
+
 @query
 def reject_rows(spark, sf_dir):
     _, rejected = clean.split_rejects(faulty(spark, sf_dir))
@@ -221,6 +260,15 @@ feature_query(
 )
 
 
+@query
+def nan_charges(spark, sf_dir):
+    """The flags of rows whose monthly charge is not a number: none of them counts as high."""
+    charge = F.when(uniform(S.ID, "nan_charge") < 0.05, F.lit(float("nan"))).otherwise(F.col("MonthlyCharges"))
+    raw = subscribers(spark, sf_dir).withColumn("MonthlyCharges", charge)
+    made = features.engineer_features(clean.convert_types(clean.clean_data(raw)))
+    return made.select(S.ID, "MonthlyCharges", "SpendCategory", "HighValueCustomer", "RetentionRiskScore", "HighCharge_MTM")
+
+
 @query
 def all_features(spark, sf_dir):
     return features.engineer_features(typed(spark, sf_dir))
@@ -241,6 +289,24 @@ def onehot_long(spark, sf_dir):
     return encoded.select(S.ID, F.inline(F.array(*pairs))).filter("value = 1").select(S.ID, "feature")
 
 
+@query
+def unknown_levels(spark, sf_dir):
+    """A null category is a level of its own, with a column of its own."""
+    payment = F.when(uniform(S.ID, "no_payment") >= 0.1, F.col("PaymentMethod"))
+    df = prepare_training(subscribers(spark, sf_dir).withColumn("PaymentMethod", payment))
+    encoded = encode.apply_encoding(df, encode.fit_encoding(df), [S.ID])
+    return encoded.select(S.ID, "PaymentMethod_Unknown")
+
+
+@query
+def absent_columns(spark, sf_dir):
+    """Rows without two pass-through columns, encoded for a model that knows them."""
+    raw = subscribers(spark, sf_dir)
+    encoding = encode.fit_encoding(prepare_training(raw))
+    scoring = preprocess_input(raw.drop("gender", "PaperlessBilling"), encoding)
+    return scoring.select(S.ID, "gender", "PaperlessBilling", "Partner", "RetentionRiskScore")
+
+
 @query
 def scaled_numerics(spark, sf_dir):
     df = prepared(spark, sf_dir)
@@ -286,6 +352,15 @@ def class_weights(spark, sf_dir):
     return weights.withColumn("weight", half_even(F.col("weight"), 9))
 
 
+@query
+def row_weights(spark, sf_dir):
+    """The weight columns of the model grids, per label."""
+    weighted = split.add_class_weights(labelled(spark, sf_dir))
+    names = ["weight_none", "weight_balanced", "weight_pos_1", "weight_pos_2", "weight_pos_3"]
+    picked = weighted.select(S.LABEL, *[half_even(F.col(name), 9).alias(name) for name in names])
+    return picked.groupBy(*picked.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- scoring --------------------------------------------------------------------------------------------
 
 
@@ -454,7 +529,7 @@ def dependence_bins(spark, sf_dir):
 def rule_permutation_importance(spark, sf_dir):
     df = clean.with_label(subscribers(spark, sf_dir))
     names = list(score.rule_terms(df))
-    return explain.permutation_importance(df, rule_scorer, names, n_repeats=3)
+    return explain.permutation_importance(df, rule_scorer, names)
 
 
 @query
@@ -647,5 +722,5 @@ def shapley_sampling(spark, sf_dir):
 def job_metrics(spark, sf_dir):
     """The whole job, from the raw table to the reports; shows its metrics table."""
     folder = shared_dir(spark, "job")
-    result = run_job(subscribers(spark, sf_dir), folder, compare=False, max_rows=50, n_repeats=2)
+    result = run_job(subscribers(spark, sf_dir), folder)
     return result["metrics"]

@@ -12,6 +12,11 @@ def half_even(value: Column, places: int = 2) -> Column:
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 
 
+def known(value: Column) -> Column:
+    """NaN read as null; Spark orders NaN above every number, so it would pass as a large one."""
+    return F.nanvl(value.cast("double"), F.lit(None))
+
+
 def safe_divide(numerator: Column, denominator: Column, default: float | None = 0.0) -> Column:
     """``numerator / denominator``; ``default`` where the denominator is 0 or null."""
     fallback = F.lit(default).cast("double")

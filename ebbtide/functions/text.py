@@ -38,8 +38,8 @@ def answered_sql(df: DataFrame, name: str, word: str, number: int | None = None)
     if name not in df.columns:
         return "false"
     if is_text(df, name):
-        return f"coalesce(`{name}` = '{word}', false)"
-    return "false" if number is None else f"coalesce(`{name}` = {number}, false)"
+        return f"(`{name}` <=> '{word}')"
+    return "false" if number is None else f"(`{name}` <=> {number})"
 
 
 def answered(df: DataFrame, name: str, word: str, number: int | None = None) -> Column:

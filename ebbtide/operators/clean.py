@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide import schema as S
+from ebbtide.functions.numeric import known
 from ebbtide.functions.text import flag, holds, is_text, strip, to_number
 
 
@@ -31,6 +32,14 @@ def parse_total_charges(df: DataFrame) -> DataFrame:
     return df.withColumn("TotalCharges", value)
 
 
+def blank_nan(df: DataFrame) -> DataFrame:
+    """NaN in MonthlyCharges becomes null, as in TotalCharges."""
+    kinds = dict(df.dtypes)
+    if kinds.get("MonthlyCharges") not in ("double", "float"):
+        return df
+    return df.withColumn("MonthlyCharges", known(F.col("MonthlyCharges")))
+
+
 def impute_total_charges(df: DataFrame) -> DataFrame:
     """Fill missing TotalCharges with tenure x MonthlyCharges, unrounded."""
     if "TotalCharges" not in df.columns:
@@ -57,7 +66,7 @@ def clean_data(df: DataFrame, dedupe: bool = True, drop_null_target: bool = True
 
     Scoring sets both flags to False: it must keep every row.
     """
-    df = df.transform(strip_text).transform(parse_total_charges).transform(impute_total_charges)
+    df = df.transform(strip_text).transform(blank_nan).transform(parse_total_charges).transform(impute_total_charges)
     # Filtering first is equal (copies share their label) and shuffles fewer rows.
     if drop_null_target:
         df = drop_unlabelled(df)

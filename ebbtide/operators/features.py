@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide import schema as S
@@ -55,8 +58,12 @@ def add_customer_lifetime_estimate(df: DataFrame) -> DataFrame:
     return df.withColumn("CustomerLifetimeEstimate", estimate)
 
 
-def _count_yes(df: DataFrame, names: list[str]):
-    return sum((flag(yes(df, name)) for name in names), F.lit(0))
+def _count(conditions: list[Column]) -> Column:
+    return reduce(add, [flag(condition) for condition in conditions])
+
+
+def _count_yes(df: DataFrame, names: list[str]) -> Column:
+    return _count([yes(df, name) for name in names])
 
 
 def add_support_usage_score(df: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def add_retention_risk_bucket(df: DataFrame) -> DataFrame:
         F.col("MonthlyCharges") > S.HIGH_CHARGE,
         yes(df, "PaperlessBilling"),
     ]
-    df = df.withColumn("RetentionRiskScore", sum((flag(sign) for sign in signs), F.lit(0)))
+    df = df.withColumn("RetentionRiskScore", _count(signs))
     bucket = bin_label(F.col("RetentionRiskScore"), *S.RETENTION_BINS, OUTSIDE)
     return df.withColumn("RetentionRiskBucket", bucket)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide import schema as S
-from ebbtide.functions.numeric import bin_label, equal_bin, half_even, safe_divide
+from ebbtide.functions.numeric import bin_label, equal_bin, half_even, known, safe_divide
 from ebbtide.functions.text import answered, flag, holds, is_text, no, to_number, yes
 from ebbtide.operators.ranking import exact_quantiles
 
@@ -23,9 +23,9 @@ def churned(df: DataFrame) -> Column:
 
 
 def label_name(df: DataFrame) -> Column:
-    """Chart name of the label; any other value keeps its text."""
+    """Chart name of the label; any other value has none."""
     kind = str if is_text(df, S.TARGET) else int
-    chain = F.col(S.TARGET).cast("string")
+    chain = F.lit(None).cast("string")
     for value, name in LABEL_NAMES.items():
         if isinstance(value, kind):
             chain = F.when(F.col(S.TARGET) == value, name).otherwise(chain)
@@ -104,7 +104,7 @@ def monthly_charges_box(df: DataFrame, approximate: bool = False) -> DataFrame:
     Exact by default; ``approximate`` uses one sketch aggregate instead.
     """
     name = label_name(df) if S.TARGET in df.columns else F.lit("All")
-    charges = df.select(name.alias("label_name"), "MonthlyCharges").filter(
+    charges = df.select(name.alias("label_name"), known(F.col("MonthlyCharges")).alias("MonthlyCharges")).filter(
         F.col("label_name").isNotNull()
     )
     plain = charges.groupBy("label_name").agg(
@@ -240,7 +240,7 @@ def _segments(df: DataFrame) -> dict[str, tuple[Column, Column]]:
     """Segment name -> (in the segment, in the group it is compared with)."""
     monthly = answered(df, "Contract", "Month-to-month")
     loyal = holds(F.col("tenure") >= S.LOYAL_TENURE)
-    costly = holds(F.col("MonthlyCharges") > S.HIGH_CHARGE)
+    costly = holds(known(F.col("MonthlyCharges")) > S.HIGH_CHARGE)
     family = yes(df, "Partner") & yes(df, "Dependents")
     return {
         "month_to_month_vs_two_year": (monthly, answered(df, "Contract", "Two year")),
@@ -280,18 +280,19 @@ def target_segments(df: DataFrame) -> DataFrame:
     """(segment, customers, monthly_charges, churn_rate) of the retention target groups."""
     fiber = answered(df, "InternetService", "Fiber optic")
     tenure, monthly = F.col("tenure"), answered(df, "Contract", "Month-to-month")
+    charge = known(F.col("MonthlyCharges"))
     groups = {
         "month_to_month": monthly,
         "fiber_without_support_or_security": fiber & (no(df, "TechSupport") | no(df, "OnlineSecurity")),
         "tenure_12_to_24": holds((tenure >= 12) & (tenure <= 24)),
-        "high_charge_month_to_month": monthly & holds(F.col("MonthlyCharges") > S.HIGH_CHARGE),
+        "high_charge_month_to_month": monthly & holds(charge > S.HIGH_CHARGE),
         "tenure_below_6": holds(tenure < 6),
     }
     rows = [
         F.struct(
             F.lit(name).alias("segment"),
             F.count_if(member).alias("customers"),
-            half_even(F.coalesce(F.sum(F.when(member, F.col("MonthlyCharges"))), F.lit(0.0))).alias(
+            half_even(F.coalesce(F.sum(F.when(member, charge)), F.lit(0.0))).alias(
                 "monthly_charges"
             ),
             half_even(F.coalesce(F.avg(F.when(member, churned(df))), F.lit(0.0)), 6).alias("churn_rate"),

@@ -104,10 +104,32 @@ def split_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def assign_folds(df: DataFrame, folds: int = 5, seed: int = S.SEED, key: str = S.ID) -> DataFrame:
-    """Add ``fold`` in 0..folds-1."""
+def assign_folds(
+    df: DataFrame,
+    folds: int = 5,
+    seed: int = S.SEED,
+    key: str = S.ID,
+    label: str = S.LABEL,
+    slots: int = 65536,
+) -> DataFrame:
+    """Add ``fold`` in 0..folds-1, stratified: per label the folds differ by one row at most.
+
+    The rows of a label are dealt to the folds in the order of their draws. A row's rank is its
+    rank within a slot of the draws plus the rows of the slots before; a slot holds 1 / slots of
+    a label, so no task ranks a whole label. The broadcast table has one row per label and slot.
+    """
     draw = uniform(key, f"fold{seed}")
-    return df.withColumn("fold", F.floor(draw * folds).cast("int"))
+    drawn = df.withColumn("_draw", draw).withColumn("_slot", F.floor(draw * slots).cast("int"))
+    before = Window.partitionBy("_label").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        drawn.groupBy(F.col(label).alias("_label"), F.col("_slot").alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_label", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    rank = F.row_number().over(Window.partitionBy(label, "_slot").orderBy("_draw", key)) - 1
+    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_slot") == F.col("_at"))
+    dealt = drawn.withColumn("_rank", rank).join(F.broadcast(starts), same)
+    return dealt.withColumn("fold", ((F.col("_start") + F.col("_rank")) % folds).cast("int")).select(*df.columns, "fold")
 
 
 def class_weights(df: DataFrame) -> DataFrame:

@@ -52,6 +52,16 @@ def test_folds(labelled):
     assert all(20 <= r["count"] <= 60 for r in folds)
 
 
+@pytest.mark.parametrize("slots", [1, 7, 65536])
+def test_folds_are_stratified_and_follow_the_draws(labelled, slots):
+    dealt = split.assign_folds(labelled.repartition(5), 3, slots=slots).collect()
+    assert len(dealt) == 200
+    draw = {r[0]: r["u"] for r in labelled.select(S.ID, split.uniform(S.ID, "fold42").alias("u")).collect()}
+    for label in (0, 1):
+        ordered = sorted((draw[r[S.ID]], r[S.ID], r["fold"]) for r in dealt if r[S.LABEL] == label)
+        assert [fold for _, _, fold in ordered] == [i % 3 for i in range(len(ordered))]
+
+
 def test_weights(labelled):
     weights = {r[S.LABEL]: (r["n"], r["weight"]) for r in split.class_weights(labelled).collect()}
     assert weights == {0: (150, 200 / 300), 1: (50, 2.0)}
