@@ -52,13 +52,13 @@ def digest(text: str) -> str | None:
 _WHITE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 
 
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, check, digest, sketch): check tells texts of one doc_id apart."""
-    schema = "doc_id bigint, check bigint, digest string, sketch array<int>"
+def sketches(docs: DataFrame, words: int = 5, row: str | None = None) -> DataFrame:
+    """(doc_id, check, row, digest, sketch): check tells texts of one doc_id apart, row is the column so named, or null."""
+    schema = "doc_id bigint, check bigint, row bigint, digest string, sketch array<int>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for part in slices([len(t) for t in texts]):
                 own = texts[part]
                 sketch = minhash(*shingles(own, words), SKETCH).view(np.int32)
@@ -69,16 +69,17 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                     [
                         batch.column(0).slice(part.start, size),
                         batch.column(1).slice(part.start, size),
+                        batch.column(2).slice(part.start, size),
                         pa.array([digest(t) for t in own], pa.string()),
                         pa.ListArray.from_arrays(places, flat),
                     ],
-                    names=["doc_id", "check", "digest", "sketch"],
+                    names=["doc_id", "check", "row", "digest", "sketch"],
                 )
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("check"), text.alias("text")).mapInArrow(
-        task, schema
-    )
+    own = (F.lit(None) if row is None else F.col(row)).cast("bigint").alias("row")
+    picked = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("check"), own, text.alias("text"))
+    return picked.mapInArrow(task, schema)
 
 
 def tree(vertices: DataFrame, work: Workspace, runs: int, small: int, same: float = 0.5) -> DataFrame:
@@ -208,9 +209,25 @@ def jaccard_join(
     Two rows are linked when the Jaccard similarity of their shingle sets reaches the threshold; n_links counts the
     other rows linked directly, class_id is the smallest doc_id reachable by links, the row's own included.
     """
+    return grouped(docs, threshold, words, recall, small).select("doc_id", "check", "class_id", "n_links")
+
+
+def grouped(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    words: int = 5,
+    recall: float = 0.9999,
+    small: int = 64,
+    row: str | None = None,
+) -> DataFrame:
+    """(doc_id, check, row, root, class_id, n_links) of every row of docs: root names its class, null without words.
+
+    Unlike class_id, no two classes share a root, whatever the doc_ids are. row: the column so named, or null.
+    """
     work = Workspace(docs.sparkSession, "jaccard")
-    rows = work.keep(sketches(docs, words))
-    first = F.struct("doc_id", "check")
+    rows = work.keep(sketches(docs, words, row))
+    # A null id comes last: a copy that has an id names the class.
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "check")
     vertices = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.count("*").alias("weight"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch")
     )
@@ -238,28 +255,32 @@ def jaccard_join(
     )
     least = classes.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = classes.join(least, "root").select(
-        "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+        "digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
-    return rows.select("doc_id", "check", "digest").join(classes, "digest", "left").select(
+    return rows.select("doc_id", "check", "row", "digest").join(classes, "digest", "left").select(
         "doc_id",
         "check",
+        "row",
+        "root",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each class the row with the smallest doc_id (of copies of it, any one).
+    """The rows of docs that stay: of each class one row, that with the smallest doc_id (of copies of it, any one).
 
-    The columns of docs are left as they are. Rows without words all stay, but for repeats of one doc_id.
+    Null ids come last; of several texts with that doc_id, the one with the smallest hash stays. The columns of docs are
+    left as they are. Rows without words all stay, but for repeats of one doc_id and text; a null doc_id repeats none.
     """
     work = Workspace(docs.sparkSession, "keep-one")
-    found = jaccard_join(docs, **options)
-    first = work.keep(
-        found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("doc_id")
-        .agg(F.min("check").alias("check"))
+    # The numbers are drawn once, when the table is written.
+    marked = work.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = grouped(marked, row="__row", **options)
+    missing, bare = F.col("doc_id").isNull(), F.col("root").isNull()
+    alone = (F.when(bare, F.col(c)).alias(f"own_{c}") for c in ("doc_id", "check"))
+    first = found.groupBy("root", *alone, F.when(bare & missing, F.col("row")).alias("own_row")).agg(
+        F.min(F.struct(missing.alias("missing"), "doc_id", "check", "row")).alias("first")
     )
-    marked = docs.withColumn("__check", F.xxhash64(F.coalesce("text", F.lit(""))))
-    key = docs.doc_id.cast("bigint").eqNullSafe(first.doc_id) & (marked["__check"] == first.check)
-    return marked.join(first, key, "left_semi").drop("__check")
+    chosen = work.keep(first.select(F.col("first.row").alias("__row")))
+    return marked.join(chosen, "__row", "left_semi").drop("__row")

@@ -284,6 +284,20 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard.runs_for(0.9999, 0.8) == 4
 
 
+def test_keep_one_keeps_a_row_of_each_class(spark):
+    near = BASE + " more"
+    other, third, fourth = (" ".join(f"{x}{i}" for i in range(40)) for x in ("other", "third", "fourth"))
+    rows = [(None, other, "en"), (None, third, "en"), (None, third, "en")]  # unlike texts without ids
+    rows += [(5, BASE, "en"), (5, fourth, "en"), (5, BASE, "en"), (9, near, "en")]  # unlike texts of one id, repeats
+    rows += [(None, fourth + " end", "en"), (7, other, "fr")]  # a copy and a near copy without and with an id
+    rows += [(1, None, "en"), (1, None, "en"), (2, " ", "en"), (None, None, "en"), (None, "", "en")]
+    kept = sorted((i or 0, t or "") for i, t in got(jaccard.keep_one(table(spark, rows)), "doc_id", "text"))
+    want = [(0, third), (5, BASE), (5, fourth), (7, other), (1, ""), (2, " "), (0, ""), (0, "")]
+    assert kept == sorted(want)
+    found = jaccard.jaccard_join(table(spark, rows))
+    assert sorted((a or 0, b or 0, c) for a, b, c in got(found, "doc_id", "class_id", "n_links")) == plain_classes(rows)
+
+
 # --- 8 ---
 
 
