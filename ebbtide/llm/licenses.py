@@ -1,11 +1,12 @@
 """License scans in DataFrame operations alone: MinHash bands over overlapping text windows, then exact containment.
 
-Words are runs of a-z and 0-9 in the lower-cased text. Every window of 16 words, begun at every eighth word, has the MinHash
-of its five-word shingles in 64 bands of one row; a window and a window of a template that agree in a band make the
-template a candidate for the document. A shingle of a template is one of at most 12 in a window, and every place of a
-text lies in two windows, so even a notice of a single shingle is met with probability 1 - (11/12) ** 128 > 0.9999.
-A band can only agree where one of the template's shingles stands, so the bands are worked out for those windows
-alone; that changes no result. Candidates are verified by the exact share of the template's shingles in the text.
+Words are runs of a-z and 0-9 in the lower-cased text. The five-word shingles of the templates are looked up exactly, and a
+document with a shingle of a template is a candidate for it, so every match is found. Every window of 16 words, begun at
+every eighth word, has the MinHash of its shingles in 64 bands of one row; a window and a window of a template that agree
+in a band make the template a candidate too. Bands alone would miss: a shingle may lie in one window only, as one of 12,
+and a notice of that one shingle is then missed with probability (11/12) ** 64, or 0.4 per cent. A band can only agree
+where one of the template's shingles stands, so the bands, worked out for those windows alone, add nothing to the lookup
+and take nothing from it. Candidates are verified by the exact share of the template's shingles in the text.
 
 Null and empty texts, and texts of fewer than five words, match nothing and give no rows. Repeated rows give their matches
 each. Columns beyond doc_id and text are left alone. An empty table gives no rows.
@@ -94,7 +95,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     covering = F.array_distinct(F.flatten(reach))
     ours = banded(near.select("row", "hashes", covering.alias("starts")), "row")
     theirs = banded(known.withColumn("starts", F.sequence(F.lit(0), F.size("hashes") - 1)), "license")
-    candidates = ours.join(F.broadcast(theirs), ["band", "value"]).select("row", "license").distinct()
+    agreed = ours.join(F.broadcast(theirs), ["band", "value"]).select("row", "license")
+    # Bands can miss a located shingle; it makes its templates candidates by itself.
+    owners = known.select("license", F.explode("hashes").alias("h")).distinct()
+    located = near.select("row", F.explode(F.array_distinct("hits.h")).alias("h")).join(F.broadcast(owners), "h").select("row", "license")
+    candidates = agreed.union(located).distinct()
     wanted = known.select("license", F.array_distinct("hashes").alias("wanted"))
     pairs = near.drop("hashes").join(candidates, "row").join(F.broadcast(wanted), "license")
     mine = F.filter("hits", lambda x: F.array_contains(F.col("wanted"), x["h"]))

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ebbtide.llm import blobs, caps, fingerprints, jaccard, licenses, mixing, packing, sharding, toxicity, urls
@@ -152,6 +153,20 @@ def test_licenses(spark, docs, none, sf):
     assert sorted(map(tuple, ours.collect())) == sorted(con.execute(licenses.oracle()).fetchall())
 
 
+def test_a_license_of_one_shingle_is_found_at_every_place(spark):
+    draw = np.random.default_rng(41)
+    texts = []
+    for i in range(9600):  # 400 contexts for each of 24 places, three times every place mod 8
+        listed = [f"v{k}" for k in draw.integers(0, 1 << 40, 44)]
+        listed[i % 24 : i % 24] = licenses.TEMPLATES["MIT"].split()
+        texts.append(" ".join(listed))
+    ours = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    want = sorted(con.execute(licenses.oracle()).fetchall())
+    assert len(want) == len(texts) and sorted(map(tuple, ours.collect())) == want
+
+
 # --- 4 ---
 
 
