@@ -3,7 +3,8 @@
 Every text becomes the set of its five-word shingles (white-space words, lower case) and a MinHash sketch of it. The
 join tree splits a bucket on sampled sketch places: two sets go on together where they share the sampled token. A
 bucket is split again until it is small, or its members are so alike that no split would part them; then it is
-compared by brute force, in blocks. Runs repeat until a pair at the threshold is met with the target recall.
+compared by brute force, in blocks. Runs repeat until a pair at the threshold is met with the target recall; the misses
+of sketches that agree badly, in all runs together, and those of the cheap look before the texts are counted in.
 
 Equal word sequences are joined once, as one weighted vertex. Null, empty and white-space texts have no shingles and
 link with nothing, not even with each other; each is its own class. A text of fewer than five words has one shingle of
@@ -28,18 +29,44 @@ from ebbtide.llm.text import minhash, shingles, slices
 from ebbtide.llm.workspace import Workspace
 
 #: Places of a sketch, places sampled at each node, and the depth beyond which buckets are compared as they are.
-SKETCH, SAMPLED, DEPTH = 32, 2, 8
+SKETCH, SAMPLED, DEPTH = 64, 2, 8
+#: The share of the misses allowed that plausible() may have; the rest is the tree's.
+CHEAP = 0.25
 
 
-def runs_for(recall: float, threshold: float, sampled: int = SAMPLED) -> int:
+def runs_for(recall: float, threshold: float, sampled: int = SAMPLED, sketch: int | None = None) -> int:
     """Runs after which a pair at the threshold has met with probability `recall`, however deep the tree.
 
-    A pair leaves a node without a common child with probability q = ((1 - t) + t q) ** sampled, at the limit.
+    A pair leaves a node without a common child with probability q = ((1 - t) + t q) ** sampled, at the limit. All runs
+    look at one sketch: with its size given, t is the share of its places that agree, and the misses are averaged over it.
     """
-    q = 0.0
-    for _ in range(64):
-        q = ((1 - threshold) + threshold * q) ** sampled
-    return max(1, math.ceil(math.log(1 - recall) / math.log(q)))
+    shares = [(threshold, 1.0)] if sketch is None else [(k / sketch, p) for k, p in enumerate(_agreeing(sketch, threshold))]
+    misses = []
+    for t, p in shares:
+        q = 0.0
+        for _ in range(64):
+            q = ((1 - t) + t * q) ** sampled
+        misses.append((q, p))
+    runs = 1
+    # A sketch without a place that agrees is missed by any number of runs.
+    while runs < (sketch or 1 << 10) and sum(p * q**runs for q, p in misses) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def _agreeing(sketch: int, threshold: float) -> list[float]:
+    """The probabilities of 0, 1, ... places that agree, of a pair at the threshold."""
+    return [math.comb(sketch, k) * threshold**k * (1 - threshold) ** (sketch - k) for k in range(sketch + 1)]
+
+
+def least_places(recall: float, threshold: float, sketch: int = SKETCH) -> int:
+    """The most places that all but 1 - recall of the pairs at the threshold agree at."""
+    below = 0.0
+    for k, p in enumerate(_agreeing(sketch, threshold)):
+        below += p
+        if below > 1 - recall:
+            return k
+    return sketch
 
 
 def digest(text: str) -> str | None:
@@ -236,10 +263,12 @@ def grouped(
         vertices.select(F.monotonically_increasing_id().alias("id"), "digest", "weight", "first.doc_id", "first.check", "sketch")
     )
     slim = vertices.select("id", "sketch")
-    members = work.keep(tree(slim, work, runs_for(recall, threshold), small))
-    # Texts are fetched only for those whose sketch agrees with another one's; four deviations spare a true pair.
-    slack = 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    members = work.keep(plausible(members, slim, ["sketch"], alike_sketches(threshold - slack)))
+    # The tree and the cheap look share the misses allowed.
+    runs = runs_for(1 - (1 - CHEAP) * (1 - recall), threshold, sketch=SKETCH)
+    members = work.keep(tree(slim, work, runs, small))
+    # Texts are fetched only for those whose sketch agrees with another one's.
+    least = least_places(1 - CHEAP * (1 - recall), threshold)
+    members = work.keep(plausible(members, slim, ["sketch"], alike_sketches(least / SKETCH)))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("check"), text.alias("text"))
     known = vertices.select("id", "weight", "doc_id", "check").join(members.select("id").distinct(), "id", "left_semi")

@@ -299,6 +299,27 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard.runs_for(0.9999, 0.8) == 4
 
 
+def test_pairs_at_the_threshold_meet_in_large_buckets():
+    # Pairs of sets of 45 with 40 in common (Jaccard 0.8), and their paths where no bucket ever gets small.
+    draw, n, missed = np.random.default_rng(31), 20_000, 0
+    runs = jaccard.runs_for(1 - (1 - jaccard.CHEAP) * 1e-4, 0.8, sketch=jaccard.SKETCH)
+    least = jaccard.least_places(1 - jaccard.CHEAP * 1e-4, 0.8)
+    for _ in range(10):
+        own = draw.integers(0, 1 << 63, (n, 50), dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, (n, 50), dtype=np.uint64)
+        at = np.arange(n + 1) * 45
+        a, b = (jaccard.minhash(own[:, x].ravel(), at, jaccard.SKETCH) for x in (np.r_[:45], np.r_[:40, 45:50]))
+        same = a == b
+        share = same.mean(axis=1)
+        met = np.zeros(n, dtype=bool)
+        for r in range(runs):
+            alive = same[:, r * jaccard.SAMPLED : (r + 1) * jaccard.SAMPLED].sum(axis=1)
+            for _ in range(jaccard.DEPTH - 1):
+                alive = draw.binomial(jaccard.SAMPLED * alive, share)
+            met |= alive > 0
+        missed += (~met | (same.sum(axis=1) < least)).sum()
+    assert missed <= 20 + 3 * 20**0.5  # 1e-4 of 200,000
+
+
 def test_keep_one_keeps_a_row_of_each_class(spark):
     near = BASE + " more"
     other, third, fourth = (" ".join(f"{x}{i}" for i in range(40)) for x in ("other", "third", "fourth"))
