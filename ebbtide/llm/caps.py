@@ -7,8 +7,11 @@ the best of the other book are paired. This is repeated with independent rotatio
 leaves some vectors without a filter. Vectors that share a filter are compared by their exact cosine in double
 precision.
 
-The number of filters follows the number of rows, so that a filter holds a few unrelated vectors at any size, and the cap
-is set so that a vector lies in `caps` of them on average.
+The number of filters follows the number of rows, so that a filter holds a few unrelated vectors at any size. The cap is
+set so that a vector lies in `caps` of them on average, or lower: so low that a pair at the threshold shares a filter in some
+rotation with probability `recall`. That is found by drawing pairs at the threshold for the very size of the books, since
+larger books need more filters a vector for the same recall. Most vectors that share a filter aren't alike; those that are
+too far from all others by their components in one byte each, less all that rounding can do, go no further.
 
 Null and zero vectors, and those with null or non-finite components, link with nothing and are their own components.
 Vectors of other lengths never meet. Equal vectors are joined once, as one weighted vertex. Repeated rows are copies.
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ebbtide.llm.buckets import link
+from ebbtide.llm.buckets import link, plausible
 from ebbtide.llm.graph import components
 from ebbtide.llm.text import mix
 from ebbtide.llm.workspace import Workspace
@@ -41,17 +44,62 @@ def cap_height(dim: int, share: float) -> float:
     return float(x[::-1][np.searchsorted(tail, share * tail[-1])])
 
 
+def padded(dim: int) -> int:
+    """The length that a rotation gives vectors of length dim."""
+    return max(BLOCKS, 1 << max(0, dim - 1).bit_length())
+
+
+def random_books(draw: np.random.Generator, size: int, book: int) -> np.ndarray:
+    books = draw.normal(size=(BLOCKS, book, size // BLOCKS))
+    return books / np.linalg.norm(books, axis=2, keepdims=True).clip(1e-300)
+
+
+def meeting_cap(size: int, book: int, threshold: float, recall: float, pairs: int = 4096, top: int = 128) -> float:
+    """The cap at which a pair at the threshold shares a filter in one of the turns with probability `recall`.
+
+    Of drawn pairs, each has a highest cap at which it shares a filter; only the `top` directions nearest to the pair are
+    looked at in each book, which can only lower the cap. A margin covers the error of the draw.
+    """
+    draw = np.random.default_rng([6, size, book])
+    missed = 0.95 * (1 - recall) ** (1 / TURNS)
+    highest = []
+    for _ in range(0, pairs, 256):
+        books = random_books(draw, size, book)
+        u, w = draw.normal(size=(2, 256, size))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        w /= np.linalg.norm(w, axis=1, keepdims=True).clip(1e-300)
+        v = threshold * u + np.sqrt(max(0.0, 1 - threshold**2)) * w
+        scores = []
+        for x, y, own in zip(np.split(u, BLOCKS, axis=1), np.split(v, BLOCKS, axis=1), books):
+            a, b = x @ own.T, y @ own.T
+            near = np.argpartition(-(a + b), min(top, book) - 1, axis=1)[:, :top]
+            scores.append([np.take_along_axis(z, near, axis=1) for z in (a, b)])
+        (a, b), (c, d) = scores
+        both = np.minimum(a[:, :, None] + c[:, None, :], b[:, :, None] + d[:, None, :])
+        highest.append(both.max(axis=(1, 2)))
+    return float(np.quantile(np.concatenate(highest), missed))
+
+
+def heights(dims: list[int], book: int, caps: float, threshold: float, recall: float) -> dict[int, float]:
+    """The cap for each padded length: that of `caps` filters a vector, or the lower one that the recall needs."""
+    out = {}
+    for size in {padded(d) for d in dims}:
+        plain = cap_height(size, min(0.5, caps / TURNS / book**BLOCKS)) * np.sqrt(BLOCKS)
+        out[size] = min(float(plain), meeting_cap(size, book, threshold, recall))
+    return out
+
+
 class Codes:
     """One rotation with its two books and cap, for vectors of one length."""
 
-    def __init__(self, dim: int, book: int, caps: float, turn: int):
+    def __init__(self, dim: int, book: int, cap: float, turn: int):
         draw = np.random.default_rng([5, dim, turn])
-        self.size = max(BLOCKS, 1 << max(0, dim - 1).bit_length())
+        self.size = padded(dim)
         self.signs = draw.choice([-1.0, 1.0], (3, self.size))
-        self.books = draw.normal(size=(BLOCKS, book, self.size // BLOCKS))
-        self.books /= np.linalg.norm(self.books, axis=2, keepdims=True).clip(1e-300)
+        self.books = random_books(draw, self.size, book)
         self.book = book
-        self.cap = cap_height(self.size, min(0.5, caps / book**BLOCKS)) * np.sqrt(BLOCKS)
+        self.cap = cap
 
     def rotate(self, x: np.ndarray) -> np.ndarray:
         y = np.zeros((len(x), self.size))
@@ -112,8 +160,8 @@ def digests(vectors: DataFrame) -> DataFrame:
     return picked.mapInArrow(task, "vec_id bigint, embedding array<double>, digest string")
 
 
-def filters(vertices: DataFrame, book: int, caps: float) -> DataFrame:
-    """(bucket, id): every filter that a vector exceeds."""
+def filters(vertices: DataFrame, book: int, caps: dict[int, float]) -> DataFrame:
+    """(bucket, id): every filter that a vector exceeds; caps by padded length."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple[int, int], Codes] = {}
@@ -128,7 +176,7 @@ def filters(vertices: DataFrame, book: int, caps: float) -> DataFrame:
                     some = at[start : start + 1024]
                     x = np.array([rows[i] for i in some])
                     for turn in range(TURNS):
-                        code = codes.get((dim, turn)) or codes.setdefault((dim, turn), Codes(dim, book, caps / TURNS, turn))
+                        code = codes.get((dim, turn)) or codes.setdefault((dim, turn), Codes(dim, book, caps[padded(dim)], turn))
                         found = code.decode(x)
                         salt = np.uint64((dim * TURNS + turn) * 0x9E3779B97F4A7C15 % (1 << 64))
                         bucket = mix(np.concatenate(found) + salt).view(np.int64)
@@ -138,6 +186,30 @@ def filters(vertices: DataFrame, book: int, caps: float) -> DataFrame:
     return vertices.select("id", "embedding").mapInArrow(task, "bucket bigint, id bigint")
 
 
+def coarse(vertices: DataFrame) -> DataFrame:
+    """(id, bytes): the components of the unit vector as 127ths, rounded."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, rows = unit(batch.column(1).to_pylist())
+            near = pa.array([np.rint(127 * x).astype(np.int8) for x in rows], pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), near], names=["id", "bytes"])
+
+    # Every vertex has a unit vector, so rows and ids match.
+    return vertices.select("id", "embedding").mapInArrow(task, "id bigint, bytes array<tinyint>")
+
+
+def alike_bytes(threshold: float):
+    """Whether vectors may reach the threshold, by their rounded components; no pair that does is left out."""
+
+    def alike(a: list[tuple], b: list[tuple]) -> np.ndarray:
+        x, y = (np.array([r[-1] for r in rows], dtype=np.float64) / 127 for rows in (a, b))
+        off = 0.5 / 127 * np.sqrt(x.shape[1])
+        return x @ y.T >= threshold - 2 * off - off * off - 1e-9
+
+    return alike
+
+
 def alike_vectors(threshold: float):
     def matrix(rows: list[tuple]) -> np.ndarray:
         x = np.array([r[-1] for r in rows], dtype=np.float64)
@@ -150,10 +222,13 @@ def alike_vectors(threshold: float):
     return alike
 
 
-def cap_join(vectors: DataFrame, threshold: float = 0.9, caps: float = 56.0, per_row: float = 16.0) -> DataFrame:
+def cap_join(
+    vectors: DataFrame, threshold: float = 0.9, caps: float = 56.0, per_row: float = 16.0, recall: float = 0.9999
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding).
 
-    caps: the filters that a vector joins on average; more find more pairs. per_row: filters for each vector.
+    caps: the filters that a vector joins on average at least; more find more pairs. per_row: filters for each vector.
+    recall: the share of the pairs at the threshold that are found, whatever the number of rows.
     """
     work = Workspace(vectors.sparkSession, "caps")
     rows = work.keep(digests(vectors))
@@ -164,7 +239,11 @@ def cap_join(vectors: DataFrame, threshold: float = 0.9, caps: float = 56.0, per
         .withColumn("id", F.monotonically_increasing_id())
     )
     book = max(8, round((per_row / TURNS * max(1, vertices.count())) ** (1 / BLOCKS)))
-    members = work.keep(filters(vertices, book, caps))
+    # One length for each power of two.
+    steps = F.ceil(F.log2(F.size("embedding").cast("double"))).cast("int")
+    dims = [1 << r["k"] for r in vertices.select(steps.alias("k")).distinct().collect()]
+    members = work.keep(filters(vertices, book, heights(dims, book, caps, threshold, recall)))
+    members = work.keep(plausible(members, work.keep(coarse(vertices)), ["bytes"], alike_bytes(threshold)))
     found = work.keep(link(members, vertices.select("id", "weight", "embedding"), ["embedding"], alike_vectors(threshold)))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), work)
     links = found.groupBy("id").agg(F.sum("n").alias("links"))

@@ -364,6 +364,22 @@ def test_caps(spark):
     assert caps.cap_join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_row", [16.0, 8000.0])  # the books of 2,000 and of 1 million rows
+def test_caps_meet_pairs_at_the_threshold_at_any_book_size(spark, per_row):
+    draw = np.random.default_rng(17)
+    u, w = draw.normal(size=(2, 1000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cosine = 0.9 + 1e-9
+    x = np.concatenate((u, cosine * u + np.sqrt(1 - cosine**2) * w))
+    assert ((x @ x.T >= 0.9).sum(axis=1) == 2).all()  # by brute force: each with its partner alone
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = got(caps.cap_join(df, per_row=per_row), "vec_id", "n_links", "component_id")
+    assert all(k <= 1 and c == (i % 1000 if k else i) for i, k, c in out)
+    assert sum(k for _, k, _ in out) >= 2 * 998
+
+
 # --- 9 ---
 
 
