@@ -233,6 +233,18 @@ def test_slices_of_a_long_text_have_its_maxima():
     assert np.allclose(model.responses(words), top[0], atol=1e-5)
 
 
+def test_thresholds_count_the_rows_that_a_sample_stands_for():
+    draw = np.random.default_rng(51)
+    logits = np.concatenate((draw.normal(-1.5, 1, 20_000), draw.normal(1.5, 1, 2000)))
+    marks = np.repeat([0.0, 1.0], [20_000, 2000])
+    every, sample = toxicity.Model.fresh(), toxicity.Model.fresh()
+    toxicity.calibrate(every, logits, marks, ["en"] * 22_000)
+    some = np.r_[:2000, 20_000:22_000]  # a tenth of the others
+    toxicity.calibrate(sample, logits[some], marks[some], ["en"] * 3998 + ["fr"] * 2, odds=0.1)
+    assert abs(sample.thresholds[""] - every.thresholds[""]) <= 0.1
+    assert sample.thresholds["fr"] == sample.thresholds[""]  # two rows make no threshold
+
+
 # --- 6 ---
 
 
