@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ebbtide.llm import blobs, caps, fingerprints, jaccard, licenses, mixing, packing, sharding, toxicity, urls
+from ebbtide.llm import (
+    audit,
+    blobs,
+    bpe,
+    caps,
+    fingerprints,
+    jaccard,
+    licenses,
+    mixing,
+    packing,
+    resample,
+    sharding,
+    toxicity,
+    urls,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +107,26 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encoded(table(spark, sf_dir, "documents"))
+    back = bpe.decoded(ids, keep=["doc_id", "ids"])
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2(F.col("text"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -104,5 +138,12 @@ QUERIES = {
     "op8_spherical_caps": op8_spherical_caps,
     "op9_secret_scans": op9_secret_scans,
     "op10_url_filters": op10_url_filters,
+    "op11_bpe": op11_bpe,
+    "op12_resampling": op12_resampling,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op3_license_scans": licenses.oracle(),
+    "op12_resampling": resample.oracle(),
+    "op13_filter_audit": audit.oracle(),
 }
-ORACLES: dict[str, str] = {"op3_license_scans": licenses.oracle()}
