@@ -6,18 +6,19 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import schema as S
 from ebbtide.functions import risk
 from ebbtide.functions.numeric import half_even, uniform
-from ebbtide.operators import clean, encode, evaluate, explain, features, insights, score, split
+from ebbtide.operators import clean, encode, evaluate, explain, features, insights, score, split, trees
 from ebbtide.operators.score import rule_scorer
-from ebbtide.plans import reporting, training
-from ebbtide.plans.artifacts import load_model, save_model
+from ebbtide.plans import reporting, training, tree_models
 from ebbtide.plans.job import run_job
 from ebbtide.plans.preprocessing import prepare_training, preprocess_input, run_preprocessing
+from ebbtide.plans.tree_models import TreeModel
 from ebbtide.shared import shared_dir, stored
 from ebbtide.sources import customers, reports
 from ebbtide.sources.generator import generate_from_keys
@@ -650,68 +651,143 @@ def fitted(spark: SparkSession, sf_dir: str, fit) -> tuple[training.TrainingData
     return data, _trained[key]
 
 
-def _split_metrics(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
-    data, search = fitted(spark, sf_dir, fit)
-    return training.split_metrics(data.churn_model(search), data.vectors)
+# Fixed grids of the registered fits: small, so that the twins can grow the same trees again.
+FOREST_GRID = {
+    "n_estimators": [4, 8],
+    "max_depth": [3, 5],
+    "min_samples_split": [4],
+    "min_samples_leaf": [2],
+    "max_features": ["sqrt"],
+    "class_weight": ["balanced"],
+}
+BOOSTED_A_GRID = {
+    "n_estimators": [2, 3],
+    "max_depth": [3],
+    "learning_rate": [0.3],
+    "subsample": [0.85],
+    "colsample_bytree": [0.7],
+    "scale_pos_weight": [2],
+}
+BOOSTED_B_GRID = {
+    "n_estimators": [1, 2],
+    "num_leaves": [4],
+    "max_depth": [-1],
+    "learning_rate": [0.3],
+    "subsample": [0.85],
+    "class_weight": ["balanced"],
+}
+FOREST_CHOICE = {name: values[-1] for name, values in FOREST_GRID.items()}
+TREE_BINS = 32
+
+
+def tree_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.Encoding]:
+    """Prepared rows with ``is_test``, written once for the query, and the encoding of the training rows."""
+    folder = f"{shared_dir(spark, 'trees')}/prepared"
+    split.stratified_split(prepared(spark, sf_dir)).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    inputs = encode.feature_inputs(rows, (S.ID, S.TARGET, S.LABEL, "is_test"))
+    return rows, encode.fit_encoding(rows.filter("NOT is_test"), inputs)
+
+
+def forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TreeModel]:
+    """The prepared rows and one forest fitted on the training rows."""
+    rows, encoding = tree_rows(spark, sf_dir)
+    data = tree_models.tree_data(rows.filter("NOT is_test"), encoding, max_bins=TREE_BINS)
+    nodes = tree_models.forest_fits(data, [FOREST_CHOICE], [None])[0, None]
+    data.free()
+    return rows, TreeModel("random_forest", "forest", nodes, encoding)
+
+
+def searched(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """(model, split, metric, value) of the best model of each family's grid."""
+    rows, encoding = tree_rows(spark, sf_dir)
+    train = rows.filter("NOT is_test")
+    tables = []
+    for name in names:
+        data = tree_models.tree_data(train, encoding, 5 if name == "random_forest" else 3, TREE_BINS)
+        if name == "random_forest":
+            model, _, _ = tree_models.forest_search(data, FOREST_GRID)
+        else:
+            grid = {"boosted_a": BOOSTED_A_GRID, "boosted_b": BOOSTED_B_GRID}[name]
+            model, _, _ = tree_models.boosted_search(data, grid, name)
+        data.free()
+        tables.append(tree_models.split_metrics(model, rows))
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query
 def rf_metrics(spark, sf_dir):
-    return _split_metrics(spark, sf_dir, training.train_random_forest)
+    return searched(spark, sf_dir, "random_forest")
 
 
 @query
 def rf_importance(spark, sf_dir):
-    data, search = fitted(spark, sf_dir, training.train_random_forest)
-    return training.feature_importance(data.churn_model(search))
+    _, model = forest(spark, sf_dir)
+    found = trees.gain_importance(model.table(), model.encoding.feature_columns)
+    return found.select("feature", half_even(F.col("importance"), 9).alias("importance"))
 
 
 @query
 def gbt_metrics(spark, sf_dir):
-    searches = [training.train_boosted_a, training.train_boosted_b]
-    return reduce(DataFrame.unionByName, [_split_metrics(spark, sf_dir, fit) for fit in searches])
+    return searched(spark, sf_dir, "boosted_a", "boosted_b")
 
 
 @query
 def model_comparison(spark, sf_dir):
-    searches = [training.train_random_forest, training.train_boosted_a, training.train_boosted_b]
-    return training.compare_models(
-        reduce(DataFrame.unionByName, [_split_metrics(spark, sf_dir, fit) for fit in searches])
-    )
+    return training.compare_models(searched(spark, sf_dir, "random_forest", "boosted_a", "boosted_b"))
 
 
 @query
 def cv_summary(spark, sf_dir):
-    data, search = fitted(spark, sf_dir, training.train_random_forest)
-    return training.cross_validate_model(data.vectors, search.estimator)
+    rows, encoding = tree_rows(spark, sf_dir)
+    data = tree_models.tree_data(rows, encoding, max_bins=TREE_BINS)
+    per_fold = tree_models.forest_fold_metrics(data, FOREST_CHOICE)
+    return training.cv_summary(per_fold)
 
 
 @query
 def model_scores(spark, sf_dir):
     """Batch output of the forest, saved and loaded again, for all raw rows."""
-    data, search = fitted(spark, sf_dir, training.train_random_forest)
+    _, model = forest(spark, sf_dir)
     folder = shared_dir(spark, "model")
-    save_model(data.churn_model(search), folder)
-    model = load_model(spark, folder)
+    tree_models.save_tree_model(model, folder)
+    model = tree_models.load_tree_model(spark, folder)
     return score.predict_batch(subscribers(spark, sf_dir), model.scorer, validate=False)
 
 
 @query
 def model_whatif(spark, sf_dir):
-    data, search = fitted(spark, sf_dir, training.train_random_forest)
-    model = data.churn_model(search)
+    _, model = forest(spark, sf_dir)
     return score.whatif_curve(subscribers(spark, sf_dir), model.scorer)
 
 
 @query
 def permutation_importance(spark, sf_dir):
-    data, search = fitted(spark, sf_dir, training.train_random_forest)
-    model = data.churn_model(search)
-    return explain.vector_permutation_importance(
-        data.test, model.score_vectors, model.encoding.feature_columns
+    rows, model = forest(spark, sf_dir)
+    test = rows.filter("is_test")
+    vectors = test.select(S.ID, S.LABEL, array_to_vector(tree_models.tree_inputs(test, model.encoding)).alias("features"))
+    return explain.vector_permutation_importance(vectors, model.score_vectors, model.encoding.feature_columns)
+
+
+@query
+def tree_attribution(spark, sf_dir):
+    """Exact Shapley values of all test rows against 100 training rows, base value included."""
+    rows, model = forest(spark, sf_dir)
+    inputs = rows.select(S.ID, "is_test", tree_models.tree_inputs(rows, model.encoding).alias("x"))
+    background = explain.sample_rows(inputs.filter("NOT is_test"), 100, S.SEED + 1)
+    found = model.attribution(inputs.filter("is_test"), background)
+    return found.select(
+        S.ID, "feature", half_even(F.col("feature_value"), 6).alias("feature_value"), half_even(F.col("phi"), 9).alias("phi")
     )
 
 
+@query
+def tree_nodes(spark, sf_dir):
+    """The node table of the forest; a node is named by its path from the root."""
+    _, model = forest(spark, sf_dir)
+    return tree_models.listed(model)
+
+
 @query
 def shapley_sampling(spark, sf_dir):
     data, search = fitted(spark, sf_dir, training.train_random_forest)
