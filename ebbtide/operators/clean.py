@@ -111,10 +111,10 @@ def _rules(df: DataFrame) -> dict[str, tuple[str, Column]]:
     """Input rules as name -> (message, condition of a violation)."""
     rules = {}
     if "tenure" in df.columns:
-        rules["negative_tenure"] = ("'tenure' contains negative values", F.col("tenure") < 0)
+        rules["negative_tenure"] = ("a tenure below zero months", F.col("tenure") < 0)
     if "MonthlyCharges" in df.columns:
         rules["non_positive_charge"] = (
-            "'MonthlyCharges' must be > 0",
+            "a monthly charge of zero or less",
             F.col("MonthlyCharges") <= 0,
         )
     return rules
@@ -133,7 +133,7 @@ def validation_summary(df: DataFrame) -> DataFrame:
 def validate_input(df: DataFrame) -> tuple[bool, list[str]]:
     """(is_valid, messages): required columns, no negative tenure, positive charges."""
     errors = [
-        f"Missing required column: '{name}'"
+        f"no column {name}, which scoring needs"
         for name in S.SCORING_REQUIRED
         if name not in df.columns
     ]

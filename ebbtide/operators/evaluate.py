@@ -29,9 +29,9 @@ def _hits() -> dict[str, Column]:
 def score_counts(scored: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Positives and negatives at and above every distinct probability.
 
-    A row without a probability ranks below all others, at -1, so it is never flagged and always counted.
+    A row without a probability (null or NaN) ranks below all others, at -1, so it is never flagged and always counted.
     """
-    scored = scored.withColumn(S.PROBABILITY, F.coalesce(S.PROBABILITY, F.lit(-1.0)))
+    scored = scored.withColumn(S.PROBABILITY, F.coalesce(F.nanvl(F.col(S.PROBABILITY), F.lit(-1.0)), F.lit(-1.0)))
     return running_counts(scored, S.PROBABILITY, _hits(), groups, descending=True)
 
 
@@ -40,9 +40,10 @@ def confusion_counts(
 ) -> DataFrame:
     """tp, fp, fn, tn per group, from one aggregate; always all four.
 
-    A row without a probability isn't flagged.
+    A row without a probability (null or NaN) isn't flagged.
     """
-    churn, flagged = F.col(S.LABEL) == 1, F.coalesce(F.col(S.PROBABILITY) >= threshold, F.lit(False))
+    p = F.col(S.PROBABILITY)
+    churn, flagged = F.col(S.LABEL) == 1, F.coalesce((p >= threshold) & ~F.isnan(p), F.lit(False))
     stay = F.col(S.LABEL) == 0
     return scored.groupBy(*(groups or [])).agg(
         F.count_if(churn & flagged).alias("tp"),
@@ -236,7 +237,8 @@ def threshold_sensitivity(scored: DataFrame, thresholds: list[float] | None = No
     One aggregate counts all thresholds at once: each task sends a single row.
     """
     thresholds = THRESHOLDS if thresholds is None else thresholds
-    churn, p = F.col(S.LABEL) == 1, F.col(S.PROBABILITY)
+    # A probability that is null or NaN is below every threshold.
+    churn, p = F.col(S.LABEL) == 1, F.coalesce(F.nanvl(F.col(S.PROBABILITY), F.lit(-1.0)), F.lit(-1.0))
     stay = F.col(S.LABEL) == 0
     cells = [
         F.struct(

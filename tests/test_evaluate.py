@@ -134,3 +134,15 @@ def test_rows_without_a_probability_are_counted_as_not_flagged(spark):
     counts = evaluate.confusion_counts(scored).first()
     assert (counts["tp"], counts["fp"], counts["fn"], counts["tn"]) == (1, 0, 1, 2)
     assert evaluate.metrics_table(scored).first()["n_samples"] == 4.0
+
+
+def test_nan_probabilities_are_counted_as_not_flagged(spark):
+    rows = [(0, 0.2), (0, float("nan")), (1, 0.9), (1, None), (0, 0.4), (1, 0.7)]
+    scored = spark.createDataFrame(rows, "label int, churn_probability double")
+    counts = evaluate.confusion_counts(scored).first()
+    assert tuple(counts) == (2, 0, 1, 3)
+    metrics = evaluate.metrics_table(scored).first()
+    assert metrics["n_samples"] == 6 and metrics["precision"] == 1.0
+    assert metrics["roc_auc"] == round((6 + 0.5) / 9, 4)
+    half = evaluate.threshold_sensitivity(scored, [0.5]).first()
+    assert half["accuracy"] == metrics["accuracy"] or round(half["accuracy"], 4) == metrics["accuracy"]
