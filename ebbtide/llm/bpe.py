@@ -2,8 +2,9 @@
 
 A rolling hash over the bytes of a text cuts it into chunks, so equal passages of different documents fall into equal chunks.
 Chunks are counted by their digest first. A chunk that is met twice or more is encoded once for the whole table and its ids go
-to the documents that hold it; the chunks of the other documents are encoded where the document is read, so their texts cross no
-shuffle. Which chunks may be shared is asked of a bitmap of bounded size: a false alarm only sends a chunk the longer way.
+to the documents that hold it; the stretches between such chunks travel compressed and are encoded where the document is put
+together. A document without shared chunks is encoded where it is read, so its text crosses no shuffle. Which
+chunks may be shared is asked of a bitmap of bounded size: a false alarm only sends a chunk the longer way.
 
 The ids of the chunks of a document side by side are wrong around the joins, where a cut went through a word. They are repaired by
 re-encoding: whatever the ids are, a place between a visible character and ASCII white space is an edge of the pre-tokenizer,
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ebbtide.llm.packing import encoding, vocabulary
-from ebbtide.llm.text import mix
+from ebbtide.llm.text import mix, slices
 from ebbtide.llm.workspace import Workspace, partitions
 
 #: Bytes that the rolling hash sees, and chunk sizes: a cut at one place of 2 ** CUT_BITS, never below LEAST or above MOST bytes.
@@ -46,11 +48,13 @@ WIDE_SPACE = re.compile(
 )
 
 
-def cuts(data: bytes) -> list[int]:
-    """Places at which a text is cut: where the hash of the last bytes says so, between characters, not too near or far."""
+def cuts(data: bytes, edges: list[int]) -> list[list[int]]:
+    """Per stretch of text, edges[i] to edges[i + 1], its ends and the places where it is cut between them.
+
+    The stretches of many texts are hashed in one go. The hash of the last REACH bytes says where to cut, between characters and
+    never nearer to the last cut than LEAST, so no hash that counts reaches into the stretch before; after MOST bytes a cut is forced.
+    """
     raw = np.frombuffer(data, dtype=np.uint8)
-    if len(raw) <= LEAST:
-        return []
     rolled, reach = _gear[raw], 1
     while reach < REACH:
         # The hash of twice as many bytes is that of the later half plus the earlier one's, shifted.
@@ -58,31 +62,45 @@ def cuts(data: bytes) -> list[int]:
         reach *= 2
     whole = (raw & 0xC0) != 0x80
     chosen = np.flatnonzero((rolled[:-1] >> np.uint64(31)) % np.uint64(1 << CUT_BITS) == 0) + 1
-    out, last = [], 0
-    for place in [*chosen[whole[chosen]].tolist(), len(raw)]:
-        while place - last > MOST:
-            forced = last + MOST
-            while not whole[forced]:
-                forced -= 1
-            out.append(forced)
-            last = forced
-        if place - last >= LEAST and place < len(raw):
-            out.append(place)
-            last = place
+    chosen = chosen[whole[chosen]]
+    bounds = np.searchsorted(chosen, edges)
+    places = chosen.tolist()
+    out = []
+    for start, end, low, high in zip(edges, edges[1:], bounds, bounds[1:]):
+        found, last = [start], start
+        for place in [*places[low:high], end]:
+            while place - last > MOST:
+                last += MOST
+                while not whole[last]:
+                    last -= 1
+                found.append(last)
+            if place - last >= LEAST and place < end:
+                found.append(place)
+                last = place
+        out.append([*found, end])
     return out
 
 
+def chunked(texts: list[str | None]) -> Iterator[list[bytes | None]]:
+    """The chunks of each text; None stands for the special token."""
+    for part in slices([len(t or "") for t in texts]):
+        # One stretch more than special tokens in a text.
+        stretches = [(t or "").encode("utf-8", "replace").split(SPECIAL.encode()) for t in texts[part]]
+        flat = [s for own in stretches for s in own]
+        data = b"".join(flat)
+        found = iter(cuts(data, np.cumsum([0, *map(len, flat)]).tolist()) if data else [[0]] * len(flat))
+        for own in stretches:
+            out: list[bytes | None] = []
+            for i in range(len(own)):
+                if i:
+                    out.append(None)
+                places = next(found)
+                out += [data[a:b] for a, b in zip(places, places[1:]) if a < b]
+            yield out
+
+
 def chunks(text: str) -> list[bytes | None]:
-    """The chunks of a text; None stands for the special token."""
-    out: list[bytes | None] = []
-    for i, part in enumerate(text.split(SPECIAL)):
-        if i:
-            out.append(None)
-        data = part.encode("utf-8", "replace")
-        if data:
-            edges = [0, *cuts(data), len(data)]
-            out += [data[a:b] for a, b in zip(edges[:-1], edges[1:])]
-    return out
+    return next(chunked([text]))
 
 
 def digest(chunk: bytes) -> bytes:
@@ -102,14 +120,31 @@ class Coder:
         self.special = self.merges.max_token_value + 1
         self.bytes_of = [self.merges.decode_single_token_bytes(i) for i in range(self.special)] + [SPECIAL.encode()]
         self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.width = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"
 
     def encode(self, data: bytes) -> np.ndarray:
-        return self.merges.encode_to_numpy(data.decode("utf-8"), disallowed_special=())
-
-    def decode(self, ids) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+        """The ids of a stretch of text; the string of the special token has its one id."""
+        out: list[np.ndarray] = []
+        for i, part in enumerate(data.split(SPECIAL.encode())):
+            if i:
+                out.append(np.array([self.special], dtype=np.uint32))
+            out.append(self.merges.encode_to_numpy(part.decode("utf-8"), disallowed_special=()))
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all tokens, gathered at once."""
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self.sizes[ids]
+        shift = self.begins[ids] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())].tobytes()
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        return zstandard.compress(ids.astype(self.width).tobytes(), 1)
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(data), dtype=self.width).astype(np.uint32)
 
     def joined(self, parts: list[np.ndarray]) -> np.ndarray:
         """The ids of the whole text from those of its chunks, in order."""
@@ -117,7 +152,7 @@ class Coder:
         if len(parts) < 2:
             return parts[0] if parts else np.zeros(0, dtype=np.uint32)
         ids = np.concatenate(parts).astype(np.uint32)
-        data = self.decode(ids.tolist())
+        data = self.decode(ids)
         ends = np.cumsum(self.sizes[ids])
         starts = np.concatenate(([0], ends))  # token i begins at starts[i]; the last entry is the end of the text
         joins = ends[np.cumsum([len(p) for p in parts[:-1]]) - 1]
@@ -178,7 +213,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slot(digest(c)) for t in batch.column("text").to_pylist() if t for c in chunks(t) if c]
+            found = [slot(digest(c)) for parts in chunked(batch.column("text").to_pylist()) for c in parts if c]
             values, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
@@ -221,11 +256,13 @@ def encoded(
     kept = rows.schema["kept"].dataType.simpleString()
     shared = work.keep(counted(rows).where("n > 1").select("slot"))
     bits = bitmap(shared)
-    known = _encoded_once(rows, bits, path)
     # Written: its row numbers hold only as long as nobody computes them again.
-    open_rows = work.keep(_pieces(rows, bits, path, kept))
+    open_rows = work.keep(_pieces(rows, bits, kept))
     whole = _alone(rows, bits, path, kept)
-    repaired = _assembled(_filled(open_rows, known, partitions(spark)), path, kept)
+    # A chunk that a third of all documents hold is dealt to a third of the tasks.
+    wanted = _wanted(open_rows, max(1, partitions(spark) // 3))
+    dealt = _encoded_once(rows, wanted.select("digest", "salt").distinct(), bits, path)
+    repaired = _assembled(_filled(open_rows, wanted, dealt), path, kept)
     out = whole.unionByName(repaired)
     return out.select("kept.*", F.col("ids").alias(into))
 
@@ -244,11 +281,11 @@ def _alone(rows: DataFrame, bits: np.ndarray, path: str, kept: str) -> DataFrame
         for batch in batches:
             use = coder(path, made)
             at, ids = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                parts = chunks(text)
+            texts = batch.column("text").to_pylist()
+            for i, parts in enumerate(chunked(texts)):
                 if not any(_may_be_shared(bits, parts)):
                     at.append(i)
-                    ids.append(use.merged([p and use.encode(p) for p in parts]))
+                    ids.append(use.encode(texts[i].encode("utf-8", "replace")))
             yield _ids_batch(batch.column("kept").take(pa.array(at, pa.int32())), ids)
 
     return rows.mapInArrow(run, f"kept {kept}, ids array<int>")
@@ -260,34 +297,31 @@ def _ids_batch(kept: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([kept, pa.ListArray.from_arrays(offsets, flat)], names=["kept", "ids"])
 
 
-def _pieces(rows: DataFrame, bits: np.ndarray, path: str, kept: str) -> DataFrame:
-    """The documents that may share chunks, a row for every shared chunk (digest) and every run of own ones (ids)."""
+def _pieces(rows: DataFrame, bits: np.ndarray, kept: str) -> DataFrame:
+    """The documents that may share chunks: a row for every shared chunk (its digest) and every stretch between (compressed text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict = {}
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            use = coder(path, made)
             out: list[list] = [[], [], [], [], []]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                parts = chunks(text)
+            for i, parts in enumerate(chunked(batch.column("text").to_pylist())):
                 names = _may_be_shared(bits, parts)
                 if not any(names):
                     continue
                 number += 1
                 pieces: list[tuple] = []
-                run_of: list = []
-                for part, name in zip([*parts, None], [*names, b""]):
+                own: list[bytes] = []
+                for part, name in zip([*parts, b""], [*names, b""]):
                     if name is None:
-                        run_of.append(part and use.encode(part))
+                        own.append(SPECIAL.encode() if part is None else part)
                         continue
-                    if run_of:
-                        pieces.append((None, use.merged(run_of).astype(use.width).tobytes()))
-                        run_of = []
+                    if own:
+                        pieces.append((None, zstandard.compress(b"".join(own), 3)))
+                        own = []
                     if name:
                         pieces.append((name, None))
-                for seq, (name, ids) in enumerate(pieces):
-                    for column, value in zip(out, (number, seq, i if seq == 0 else None, name, ids)):
+                for seq, (name, text) in enumerate(pieces):
+                    for column, value in zip(out, (number, seq, i if seq == 0 else None, name, text)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -297,20 +331,29 @@ def _pieces(rows: DataFrame, bits: np.ndarray, path: str, kept: str) -> DataFram
                     pa.array(out[3], pa.binary()),
                     pa.array(out[4], pa.binary()),
                 ],
-                names=["row", "seq", "kept", "digest", "ids"],
+                names=["row", "seq", "kept", "digest", "own"],
             )
 
-    return rows.mapInArrow(run, f"row bigint, seq int, kept {kept}, digest binary, ids binary")
+    return rows.mapInArrow(run, f"row bigint, seq int, kept {kept}, digest binary, own binary")
+
+
+def _wanted(pieces: DataFrame, salts: int) -> DataFrame:
+    """(row, seq, kept, digest, salt) of the shared chunks; the salt spreads a chunk that many documents hold."""
+    salt = F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
+    return pieces.where("digest IS NOT NULL").select("row", "seq", "kept", "digest", salt.alias("salt"))
 
 
-def _encoded_once(rows: DataFrame, bits: np.ndarray, path: str) -> DataFrame:
-    """(digest, ids) of every chunk that may be shared: one copy of each text crosses the shuffle from a batch, and is encoded once."""
+def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: str) -> DataFrame:
+    """(digest, salt, ids): the ids of every chunk that may be shared, at the places (digest, salt) that want them.
+
+    One copy of each text crosses the shuffle from a batch and meets the places of the chunk, which are as many as there are salts at
+    most; the chunk is encoded once and its ids are dealt from there.
+    """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, bytes] = {}
-            for text in batch.column("text").to_pylist():
-                parts = chunks(text)
+            for parts in chunked(batch.column("text").to_pylist()):
                 found |= {name: part for name, part in zip(_may_be_shared(bits, parts), parts) if name}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())],
@@ -319,32 +362,36 @@ def _encoded_once(rows: DataFrame, bits: np.ndarray, path: str) -> DataFrame:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
-        last = None
+        last, ids = None, b""
         for batch in batches:
             use = coder(path, made)
-            names, ids = [], []
-            for name, chunk in zip(batch.column("digest").to_pylist(), batch.column("chunk").to_pylist()):
+            out: list[list] = [[], [], []]
+            columns = [batch.column(c).to_pylist() for c in ("digest", "salt", "chunk")]
+            for name, salt, chunk in zip(*columns):
                 if name != last:
-                    names.append(name)
-                    ids.append(use.encode(chunk).astype(use.width).tobytes())
-                    last = name
+                    # Rows with the text come before the places.
+                    last, ids = name, use.pack(use.encode(chunk))
+                elif chunk is None:
+                    for column, value in zip(out, (name, salt, ids)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(ids, pa.binary())], names=["digest", "ids"]
+                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
+                names=["digest", "salt", "ids"],
             )
 
     found = rows.select("text").mapInArrow(texts, "digest binary, chunk binary")
-    found = found.repartition(partitions(rows.sparkSession), "digest").sortWithinPartitions("digest")
-    return found.mapInArrow(once, "digest binary, ids binary")
+    found = found.select("digest", F.lit(-1).alias("salt"), "chunk")
+    found = found.unionByName(places.select("digest", "salt", F.lit(None).cast("binary").alias("chunk")))
+    found = found.repartition(partitions(rows.sparkSession), "digest").sortWithinPartitions("digest", "salt")
+    return found.mapInArrow(once, "digest binary, salt int, ids binary")
 
 
-def _filled(pieces: DataFrame, known: DataFrame, salts: int) -> DataFrame:
-    """The pieces with the ids of their shared chunks. A chunk that many documents hold is dealt to as many tasks as there are salts."""
-    own = pieces.where("digest IS NULL").select("row", "seq", "kept", "ids")
-    wanted = pieces.where("digest IS NOT NULL").select(
-        "row", "seq", "kept", "digest", F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt")
-    )
-    dealt = wanted.select("digest", "salt").distinct().join(known, "digest")
-    return own.unionByName(wanted.join(dealt, ["digest", "salt"]).select("row", "seq", "kept", "ids"))
+def _filled(pieces: DataFrame, wanted: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The pieces, with the ids of the shared chunks in place of their digests."""
+    none = F.lit(None).cast("binary")
+    own = pieces.where("digest IS NULL").select("row", "seq", "kept", none.alias("ids"), "own")
+    shared = wanted.join(dealt, ["digest", "salt"]).select("row", "seq", "kept", "ids", none.alias("own"))
+    return own.unionByName(shared)
 
 
 def _assembled(pieces: DataFrame, path: str, kept: str) -> DataFrame:
@@ -369,14 +416,14 @@ def _assembled(pieces: DataFrame, path: str, kept: str) -> DataFrame:
 
         for batch in batches:
             heads, ids = [], []
-            columns = [batch.column(c).to_pylist() for c in ("row", "ids")]
-            for i, (row, data) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in ("row", "ids", "own")]
+            for i, (row, data, own) in enumerate(zip(*columns)):
                 if row != current:
                     if current is not None:
                         heads.append(row_of)
                         ids.append(whole())
                     current, parts, row_of = row, [], batch.column("kept").slice(i, 1)
-                parts.append(np.frombuffer(data, dtype=use.width).astype(np.uint32))
+                parts.append(use.unpack(data) if data is not None else use.encode(zstandard.decompress(own)))
             if heads:
                 yield _ids_batch(pa.concat_arrays(heads), ids)
         if current is not None:
@@ -401,7 +448,10 @@ def decoded(
         made: dict = {}
         for batch in batches:
             use = coder(path, made)
-            texts = [use.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            column = batch.column("ids")
+            # A null list has no values of its own between its offsets.
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            texts = [use.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string())], names=["kept", "text"])
 
     return rows.mapInArrow(run, f"kept {kept}, text string").select("kept.*", F.col("text").alias(into))
