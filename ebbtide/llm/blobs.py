@@ -11,11 +11,14 @@ table gives no rows. Positions count code points; the end is exclusive.
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ebbtide.llm.sieve import sieved
 from ebbtide.llm.workspace import Workspace
 
 
@@ -94,13 +97,24 @@ def _ledger(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
         raise
 
 
+def _once(history: DataFrame, ledger: str) -> DataFrame:
+    """One row of each blob. Only texts that may be repeated are shuffled: those whose hash is met twice."""
+    folder = f"{ledger}/repeats-{uuid.uuid4().hex}"
+    hashed = F.xxhash64("blob")
+    history.select(hashed.alias("hash")).groupBy("hash").count().where("count > 1").select("hash").write.parquet(folder)
+    repeats = history.sparkSession.read.schema("hash bigint").parquet(folder)
+    marked = sieved(history, hashed, repeats, "__may")
+    again = marked.where("__may").dropDuplicates(["blob"])
+    return marked.where("NOT __may").unionByName(again).drop("__may")
+
+
 def scan(history: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Bring the ledger up to date with history (blob, text); returns (blob, kind, start, end) of the rules given."""
     spark = history.sparkSession
     kinds = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules)))
     seen = _ledger(spark, f"{ledger}/scans", "blob string, kind string, version int")
     if seen is None:
-        todo = history.dropDuplicates(["blob"]).withColumn("kinds", F.array(*(F.lit(r.kind) for r in rules)))
+        todo = _once(history, ledger).withColumn("kinds", F.array(*(F.lit(r.kind) for r in rules)))
     else:
         pairs = history.select("blob").distinct().select("blob", kinds.alias("rule")).select("blob", "rule.*")
         fresh = pairs.join(seen, ["blob", "kind", "version"], "left_anti")
@@ -133,14 +147,23 @@ def listed(spans: Column) -> Column:
 def secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The columns of docs and blob, spans (array, empty without findings) for every row of docs (text, ...).
 
-    Every row is a path at a version. Without a ledger a new one is begun.
+    Every row is a path at a version. Without a ledger a new one is begun. Columns of docs that are called blob or spans give way to
+    the results.
     """
     work = Workspace(docs.sparkSession, "secrets")
-    versions = docs.withColumn("blob", blob())
-    texts = versions.select("blob", F.coalesce("text", F.lit("")).alias("text"))
+    versions = docs.withColumn("__blob", blob())
+    texts = versions.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     found = work.keep(by_blob(scan(texts, ledger or f"{work.root}/ledger", rules), rules))
-    out = versions.join(found, "blob", "left")
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
+    none = F.array().cast(found.schema["spans"].dataType)
+    hashes = work.keep(found.select(F.xxhash64("blob").alias("hash")))
+    # A text moves only where its blob may have findings.
+    marked = sieved(versions, F.xxhash64("__blob"), hashes, "__may")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("blob", "spans")]
+    clear = marked.where("NOT __may").select(*columns, F.col("__blob").alias("blob"), none.alias("spans"))
+    hit = marked.where("__may").select(*columns, F.col("__blob").alias("__hit"))
+    joined = hit.join(found, F.col("__hit") == found["blob"], "left")
+    spans = F.coalesce(found["spans"], none)
+    return clear.unionByName(joined.select(*columns, F.col("__hit").alias("blob"), spans.alias("spans")))
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

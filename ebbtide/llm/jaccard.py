@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ebbtide.llm.buckets import link, plausible
 from ebbtide.llm.graph import components
 from ebbtide.llm.text import minhash, shingles, slices
+from ebbtide.llm.sieve import sieved
 from ebbtide.llm.workspace import Workspace
 
 #: Places of a sketch, places sampled at each node, and the depth beyond which buckets are compared as they are.
@@ -272,7 +273,13 @@ def grouped(
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("check"), text.alias("text"))
     known = vertices.select("id", "weight", "doc_id", "check").join(members.select("id").distinct(), "id", "left_semi")
-    payload = known.join(texts, (known.doc_id.eqNullSafe(texts.doc_id)) & (known.check == texts.check)).select("id", "weight", "text")
+    known = work.keep(known)
+    # Only texts that may be among those wanted are shuffled, copies of one row once a task.
+    texts = sieved(texts, F.col("check"), known.select("check"), "__may").where("__may")
+    # Keys without nulls, so that the join takes the partitioning of the step before.
+    key = [F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("own"), "check"]
+    texts = texts.select(*key, "text").dropDuplicates(["missing", "own", "check"])
+    payload = known.select("id", "weight", *key).join(texts, ["missing", "own", "check"]).select("id", "weight", "text")
     found = work.keep(link(members, payload, ["text"], alike_sets(threshold, words)))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), work)
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
@@ -301,15 +308,39 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Null ids come last; of several texts with that doc_id, the one with the smallest hash stays. The columns of docs are
     left as they are. Rows without words all stay, but for repeats of one doc_id and text; a null doc_id repeats none.
+
+    Rows that surely stay go through in place. Only those that may be dropped or repeated, by a bitmap over the hashes of id and
+    text, are shuffled with their texts, and told apart exactly.
     """
     work = Workspace(docs.sparkSession, "keep-one")
-    # The numbers are drawn once, when the table is written.
-    marked = work.keep(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = grouped(marked, row="__row", **options)
+    found = grouped(docs, **options)
     missing, bare = F.col("doc_id").isNull(), F.col("root").isNull()
+    # One row per id and text; what has no words is a class of its own.
+    keys = found.groupBy("root", "doc_id", "check").agg(F.count("*").alias("n"))
     alone = (F.when(bare, F.col(c)).alias(f"own_{c}") for c in ("doc_id", "check"))
-    first = found.groupBy("root", *alone, F.when(bare & missing, F.col("row")).alias("own_row")).agg(
-        F.min(F.struct(missing.alias("missing"), "doc_id", "check", "row")).alias("first")
+    first = keys.groupBy("root", *alone).agg(F.min(F.struct(missing.alias("missing"), "doc_id", "check")).alias("first"))
+    stays = first.select(F.col("first.doc_id"), F.col("first.check"), F.lit(True).alias("stays"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc_id", "check")]
+    judged = keys.alias("k").join(stays.alias("s"), same, "left").select("k.*", "stays")
+    touched = judged.where(F.col("stays").isNull() | ((F.col("n") > 1) & ~(bare & missing)))
+    touched = work.keep(touched.select("doc_id", "check", F.xxhash64("doc_id", "check").alias("hash"), "stays"))
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    given = docs.withColumns(
+        {
+            "__missing": F.col("doc_id").isNull(),
+            "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)),
+            "__check": F.xxhash64(plain),
+        }
+    )
+    own = F.when(F.col("__missing"), None).otherwise(F.col("__id"))
+    marked = sieved(given, F.xxhash64(own, "__check"), touched.select("hash"), "__may")
+    # What has neither id nor words is never a repeat.
+    free = ~F.col("__may") | (F.col("__missing") & (F.btrim(plain, F.lit(" \t\n\x0b\f\r")) == ""))
+    key = ["__missing", "__id", "__check"]
+    looked = marked.where(~free).dropDuplicates(key)
+    gone = touched.where("stays IS NULL").select(
+        F.col("doc_id").isNull().alias(key[0]), F.coalesce("doc_id", F.lit(0)).alias(key[1]), F.col("check").alias(key[2])
     )
-    chosen = work.keep(first.select(F.col("first.row").alias("__row")))
-    return marked.join(chosen, "__row", "left_semi").drop("__row")
+    looked = looked.join(gone, key, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(free).select(*columns).unionByName(looked.select(*columns))
