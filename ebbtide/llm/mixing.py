@@ -2,10 +2,15 @@
 
 A multinomial classifier learns the domains (languages, unless another column is named) from the documents of the labelled
 table and gives every document a posterior over them, from its whole text. Then nonnegative rates, one per document,
-are fitted so that the expected tokens of each domain, sum(rate * tokens * posterior), meet the target: least
-squares by projected gradient, with a metric that makes the steps of all domains equally long. A step needs K sums over all
-documents, and its result is K numbers that every document applies to its own posterior, so nothing grows on the
-driver and no rate is stored between steps.
+are fitted so that the expected tokens of each domain, sum(rate * tokens * posterior), meet the target: the least change
+of all rates, in squares, by projected gradient. The gradient is K numbers, one multiplier a domain; a document's rate is
+1 - posterior . multipliers, projected onto `least` and above. A step moves the multipliers by the distances from the
+targets in the metric of the rows that are not held at `least`, halved where it overshoots. It needs K and K * K sums over all
+documents, and its result is K numbers, so nothing grows on the driver, no rate is stored between steps, and no step is done again.
+
+The steps end at the optimum, when no domain is farther than CLOSE of all tokens from its target; the distance left is returned. With
+least >= 1 no document may go: the total starts at the smallest that keeps every domain's tokens, and grows
+until the posteriors, which are soft, can meet it.
 
 The classifier is fitted on a bounded sample (`most` labelled documents with the smallest hashes of their ids); tokens,
 posteriors and rates cover all rows. Tokens are white-space words. A null or empty text has no tokens, the prior as its
@@ -26,8 +31,10 @@ from ebbtide.llm.workspace import Workspace
 
 #: Hashed words, the words that a text's evidence counts for at most, and labelled documents in the sample.
 BUCKETS, EVIDENCE, MOST = 1 << 12, 8.0, 4000
-#: Steps at most; how near the targets the sums are to be, and the move below which they stand, as shares of all tokens.
-STEPS, CLOSE, STILL = 60, 1e-4, 1e-5
+#: Steps at most, and how near the targets the sums are to be, as a share of all tokens.
+STEPS, CLOSE = 60, 1e-7
+#: Totals that are tried in turn where none is given and no document may go, as shares more than the smallest.
+GROWTH = [0.0, *(0.005 * 2**k for k in range(10))]
 
 # The target weights of the registered query and the pipeline.
 TARGETS = {"en": 0.50, "fr": 0.18, "de": 0.18, "es": 0.14}
@@ -88,57 +95,89 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], column: str =
     return Classifier(domains, words, np.log(share))
 
 
-def fit(rows: DataFrame, targets: np.ndarray, least: float = 0.0, total: float | None = None) -> list[np.ndarray]:
-    """The steps y of the projected gradient on rows (tokens, p): rate = max(least, rate - p . y) from 1, in turn.
+@dataclass
+class Fit:
+    """Multipliers of the domains, the tokens wanted, and how far the domain farthest from its target is, as a share of them."""
+
+    multipliers: np.ndarray
+    total: float
+    distance: float
+
+
+def fit(rows: DataFrame, targets: np.ndarray, least: float = 0.0, total: float | None = None) -> Fit:
+    """The multipliers y for rows (tokens, p): rate = max(least, 1 - p . y).
 
-    total: the tokens wanted; without it the fewest at which no domain needs rates below 1, or those there are now.
+    total: the tokens wanted; without it those there are now or, with least >= 1, about the fewest that can be met.
     """
     k = len(targets)
-    p = [F.col("p")[i] for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = rows.agg(
-        *(F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)),
-        *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs),
-    ).first()
-    sums = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
+    sums = _state(rows, np.zeros(k), least)[0]
     if not sums.sum():
-        return []
-    metric = np.zeros((k, k))
-    for i, j in pairs:
-        metric[i, j] = metric[j, i] = first[f"g{i}_{j}"]
+        return Fit(np.zeros(k), 0.0, 0.0)
     met = (sums > 1e-9 * sums.sum()) & (targets > 0)
-    weights = np.where(met, targets, 0) / max(targets[met].sum(), 1e-300)
-    if total is None:
-        total = max(sums[met] / weights[met]) if least >= 1 else sums.sum()
-    goal = weights * total
-    inverse = np.linalg.pinv(metric, rcond=1e-10, hermitian=True)
-    steps: list[np.ndarray] = []
-    now = sums
-    for _ in range(STEPS):
-        if np.abs(now - goal)[met].max() <= CLOSE * total:
+    if not met.any():
+        return Fit(np.zeros(k), sums.sum(), 0.0)
+    weights = np.where(met, targets, 0) / targets[met].sum()
+    if total is not None or least < 1:
+        return _solved(rows, weights, met, least, sums.sum() if total is None else total, np.zeros(k))
+    smallest, at = max(sums[met] / weights[met]), np.zeros(k)
+    for more in GROWTH:
+        found = _solved(rows, weights, met, least, smallest * (1 + more), at)
+        if found.distance <= CLOSE:
             break
-        steps.append(inverse @ np.where(met, now - goal, 0))
-        rate = rates(F.col("p"), steps, least)
-        row = rows.select("tokens", "p", rate.alias("rate")).agg(
-            *(F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"s{i}") for i in range(k))
-        ).first()
-        before, now = now, np.array([row[f"s{i}"] for i in range(k)])
-        if np.abs(now - before).max() <= STILL * total:
-            break  # as near as nonnegative rates get
-    return steps
+        at = found.multipliers
+    return found
 
 
-def rates(p: Column, steps: list[np.ndarray], least: float) -> Column:
-    """The rate of a row after the steps, from 1; one pass over the list of steps."""
-    if not steps:
-        return F.lit(1.0)
-    listed = F.array(*(F.array(*(F.lit(float(x)) for x in y)) for y in steps))
+def _state(rows: DataFrame, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Tokens of the domains at these multipliers, the metric of the rows not held at `least`, and the dual's sum; one pass."""
+    k = len(y)
+    p = [F.col("p")[i] for i in range(k)]
+    u = sum((p[i] * F.lit(float(y[i])) for i in range(k)), F.lit(0.0))
+    t, free = F.col("tokens"), F.lit(1.0) - F.col("u") >= F.lit(least)
+    rate = F.greatest(F.lit(float(least)), F.lit(1.0) - F.col("u"))
+    height = F.when(free, rate * rate / 2).otherwise(least * least / 2 + least * (1 - least) - least * F.col("u"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = rows.select("tokens", "p", u.alias("u")).agg(
+        *(F.sum(t * rate * p[i]).alias(f"s{i}") for i in range(k)),
+        *(F.sum(F.when(free, t * p[i] * p[j])).alias(f"g{i}_{j}") for i, j in pairs),
+        F.sum(t * height).alias("height"),
+    ).first()
+    metric = np.zeros((k, k))
+    for i, j in pairs:
+        metric[i, j] = metric[j, i] = row[f"g{i}_{j}"] or 0.0
+    return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), metric, row["height"] or 0.0
 
-    def step(rate: Column, y: Column) -> Column:
-        move = F.aggregate(F.zip_with(p, y, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
-        return F.greatest(F.lit(least), rate - move)
 
-    return F.aggregate(listed, F.lit(1.0), step)
+def _solved(rows: DataFrame, weights: np.ndarray, met: np.ndarray, least: float, total: float, y: np.ndarray) -> Fit:
+    goal = weights * total
+    now, metric, height = _state(rows, y, least)
+    best, since = np.inf, 0
+    for _ in range(STEPS):
+        gap = np.where(met, now - goal, 0.0)
+        distance = float(np.abs(gap).max() / total)
+        since = 0 if distance < best / 2 else since + 1
+        best = min(best, distance)
+        if distance <= CLOSE or since > 8:
+            break  # at the targets, or as near as these posteriors get
+        step = np.where(met, np.linalg.pinv(metric, rcond=1e-12, hermitian=True) @ gap, 0.0)
+        if not step.any():
+            # All rows that could move are held at `least`: follow the gradient itself.
+            step = gap / max(now.sum(), 1.0)
+        value, slope, share = height + y @ goal, float(gap @ step), 1.0
+        while True:
+            trial = y + share * step
+            now_, metric_, height_ = _state(rows, trial, least)
+            if height_ + trial @ goal <= value - 1e-4 * share * slope or share < 1e-4:
+                break
+            share /= 2
+        y, now, metric, height = trial, now_, metric_, height_
+    return Fit(y, total, float(np.abs(np.where(met, now - goal, 0.0)).max() / total))
+
+
+def rates(p: Column, multipliers: np.ndarray, least: float) -> Column:
+    """The rate of a row: 1 less its share of the multipliers, and never below `least`."""
+    u = sum((p[i] * F.lit(float(x)) for i, x in enumerate(multipliers)), F.lit(0.0))
+    return F.greatest(F.lit(float(least)), F.lit(1.0) - u)
 
 
 def mixed(
@@ -150,19 +189,22 @@ def mixed(
     total: float | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """The columns `keep` of docs (all by default) with tokens, p (posteriors in the targets' order), rate and copies.
+    """The columns `keep` of docs (all by default) with tokens, p (posteriors in the targets' order), rate, copies and distance.
 
-    copies: the rate, rounded up or down by a draw that a row's id and text decide, so its expectation is the rate.
+    copies: the rate, rounded up or down by a draw that a row's id and text decide, so its expectation is the rate. distance: how far
+    the domain farthest from its target is, as a share of all tokens. Columns of docs that have one of these names give way.
     """
     work = Workspace(docs.sparkSession, "mixing")
     domains = list(targets)
     model = learn(docs, labels, domains, column)
-    names = docs.columns if keep is None else keep
+    own = ("tokens", "p", "rate", "copies", "distance")
+    names = [c for c in (docs.columns if keep is None else keep) if c not in own]
     listed = buckets(F.col("text"))
     draw = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     parts = let(listed, lambda x: F.struct(F.size(x).cast("bigint").alias("tokens"), model.posteriors(x).alias("p")))
-    kept = docs.select(*names, parts.alias("__parts"), draw.alias("__draw"))
-    kept = work.keep(kept.select(*names, "__draw", F.col("__parts.tokens").alias("tokens"), F.col("__parts.p").alias("p")))
-    steps = fit(kept.select("tokens", "p"), np.array(list(targets.values())), least, total)
-    out = kept.withColumn("rate", rates(F.col("p"), steps, least))
-    return out.withColumn("copies", F.floor(F.col("rate") + F.col("__draw")).cast("bigint")).drop("__draw")
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), parts.alias("__parts"), draw.alias("__at"))
+    kept = work.keep(kept.select("__row", "__at", F.col("__parts.tokens").alias("tokens"), F.col("__parts.p").alias("p")))
+    found = fit(kept.select("tokens", "p"), np.array(list(targets.values())), least, total)
+    out = kept.withColumn("rate", rates(F.col("p"), found.multipliers, least))
+    out = out.withColumn("copies", F.floor(F.col("rate") + F.col("__at")).cast("bigint"))
+    return out.select("__row.*", "tokens", "p", "rate", "copies", F.lit(found.distance).alias("distance"))

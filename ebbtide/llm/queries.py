@@ -76,7 +76,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = mixing.mixed(docs, labels, keep=["doc_id"])
     shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.TARGETS)]
-    return found.select("doc_id", "tokens", *shares, "rate", "copies")
+    return found.select("doc_id", "tokens", *shares, "rate", "copies", "distance")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
