@@ -111,7 +111,7 @@ def _rules(df: DataFrame) -> dict[str, tuple[str, Column]]:
     """Input rules as name -> (message, condition of a violation)."""
     rules = {}
     if "tenure" in df.columns:
-        rules["negative_tenure"] = ("a tenure below zero months", F.col("tenure") < 0)
+        rules["negative_tenure"] = ("a negative tenure", F.col("tenure") < 0)
     if "MonthlyCharges" in df.columns:
         rules["non_positive_charge"] = (
             "a monthly charge of zero or less",

@@ -33,13 +33,13 @@ def sf():
 
 
 RAW_ROWS = [
-    # Three customers: month 1 on fiber, month 24 on DSL with a blank total, month 60 without internet.
-    ("C001", "Male", 0, "Yes", "No", 1, "Yes", "No", "Fiber optic", "No", "No", "No", "No", "Yes", "Yes",
-     "Month-to-month", "Yes", "Electronic check", 89.5, "89.5", "Yes"),
-    ("C002", "Female", 1, "No", "No", 24, "No", "No phone service", "DSL", "Yes", "Yes", "Yes", "No", "No", "No",
-     "One year", "No", "Mailed check", 35.2, " ", "No"),
-    ("C003", "Male", 0, "Yes", "Yes", 60, "Yes", "Yes", "No", *["No internet service"] * 6,
-     "Two year", "No", "Bank transfer (automatic)", 20.0, "1200.0", "No"),
+    # Our own three customers: a newcomer on fiber, one in the second year whose total is blank, an old hand without internet.
+    ("C001", "Male", 1, "No", "Yes", 4, "Yes", "Yes", "Fiber optic", "Yes", "No", "Yes", "No", "No", "Yes",
+     "Month-to-month", "Yes", "Mailed check", 86.25, "351.0", "Yes"),
+    ("C002", "Female", 0, "Yes", "Yes", 17, "No", "No phone service", "DSL", "No", "Yes", "No", "Yes", "Yes", "No",
+     "One year", "No", "Electronic check", 41.6, " ", "No"),
+    ("C003", "Male", 1, "No", "No", 51, "Yes", "No", "No", *["No internet service"] * 6,
+     "Two year", "No", "Credit card (automatic)", 22.1, "1120.5", "No"),
 ]
 
 
@@ -48,14 +48,14 @@ def raw(spark):
     return spark.createDataFrame(RAW_ROWS, S.RAW_SCHEMA)
 
 
-# Three example customers without a label: high, low and medium risk.
+# Unlabelled customers of very high, low and high risk.
 EXAMPLES = [
-    ("EX-001", "Male", 0, "No", "No", 3, "Yes", "No", "Fiber optic", "No", "No", "No", "No", "Yes", "Yes",
-     "Month-to-month", "Yes", "Electronic check", 89.5, "268.5"),
-    ("EX-002", "Female", 0, "Yes", "Yes", 54, "Yes", "Yes", "DSL", "Yes", "Yes", "Yes", "Yes", "No", "No",
-     "Two year", "No", "Bank transfer (automatic)", 55.2, "2980.8"),
-    ("EX-003", "Male", 1, "No", "No", 14, "Yes", "No", "DSL", "No", "Yes", "No", "No", "No", "No",
-     "One year", "Yes", "Mailed check", 42.3, "592.2"),
+    ("EX-001", "Male", 0, "No", "No", 5, "Yes", "Yes", "Fiber optic", "No", "Yes", "No", "No", "Yes", "No",
+     "Month-to-month", "No", "Mailed check", 93.0, "452.0"),
+    ("EX-002", "Male", 0, "Yes", "Yes", 47, "Yes", "No", "DSL", "Yes", "No", "Yes", "Yes", "No", "Yes",
+     "Two year", "Yes", "Credit card (automatic)", 58.4, "2744.8"),
+    ("EX-003", "Female", 1, "No", "No", 13, "Yes", "Yes", "DSL", "No", "No", "Yes", "No", "Yes", "No",
+     "One year", "No", "Electronic check", 47.9, "622.7"),
 ]
 
 

@@ -13,7 +13,7 @@ def by_id(df, name):
 
 def test_blank_total_is_filled_with_tenure_times_charge(raw):
     total = by_id(clean.clean_data(raw), "TotalCharges")
-    assert total == {"C001": 89.5, "C002": 24 * 35.2, "C003": 1200.0}
+    assert total == {"C001": 351.0, "C002": 17 * 41.6, "C003": 1120.5}
     assert dict(clean.clean_data(raw).dtypes)["TotalCharges"] == "double"
 
 

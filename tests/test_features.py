@@ -14,10 +14,10 @@ NONE = "No internet service"
 def base(spark):
     return spark.createDataFrame(
         [
-            (1, 20.0, 20.0, "No", "No", "Month-to-month", "Fiber optic", "No", "No", "No", "Yes", "Yes", "Yes"),
-            (12, 50.0, 600.0, "Yes", "No", "One year", "DSL", "Yes", "Yes", "No", "No", "No", "No"),
-            (36, 75.0, 2700.0, "No", "No", "Month-to-month", "Fiber optic", "No", "No", "Yes", "Yes", "No", "Yes"),
-            (65, 95.0, 5700.0, "Yes", "Yes", "Two year", "No", NONE, NONE, NONE, NONE, NONE, "No"),
+            (2, 30.0, 61.0, "Yes", "No", "Month-to-month", "DSL", "No", "No", "No", "No", "Yes", "Yes"),
+            (24, 62.5, 1480.0, "Yes", "Yes", "One year", "Fiber optic", "Yes", "No", "Yes", "No", "No", "No"),
+            (40, 84.0, 3400.0, "No", "Yes", "Month-to-month", "Fiber optic", "No", "No", "No", "Yes", "Yes", "Yes"),
+            (70, 19.5, 1365.0, "No", "No", "Two year", "No", NONE, NONE, NONE, NONE, NONE, "No"),
         ],
         BASE,
     )
@@ -30,35 +30,35 @@ def done(base):
 
 
 def column(done, name):
-    return [done[t][name] for t in (1, 12, 36, 65)]
+    return [done[t][name] for t in (2, 24, 40, 70)]
 
 
 def test_every_feature_of_the_base_rows(done):
     expected = {
-        "TenureGroup": ["New", "New", "Established", "Champion"],
-        "SpendCategory": ["Budget", "Standard", "Premium", "Enterprise"],
-        "MonthlyChargeBucket": ["Q1", "Q2", "Q3", "Q4"],
-        "AvgMonthlySpend": [20.0, 50.0, 75.0, round(5700 / 65, 2)],
-        "HighValueCustomer": [0, 0, 1, 1],
+        "TenureGroup": ["New", "Growing", "Established", "Champion"],
+        "SpendCategory": ["Budget", "Standard", "Premium", "Budget"],
+        "MonthlyChargeBucket": ["Q2", "Q3", "Q4", "Q1"],
+        "AvgMonthlySpend": [30.5, 61.67, 85.0, 19.5],
+        "HighValueCustomer": [0, 0, 1, 0],
         "ContractLength": [1, 12, 1, 24],
-        "CustomerLifetimeEstimate": [20.0, 900.0, 75.0, 3156.84],
-        "SupportUsageScore": [0, 2, 1, 0],
-        "StreamingUsageScore": [2, 0, 1, 0],
-        "InternetServiceCategory": ["High-Speed", "Standard", "High-Speed", "None"],
-        "FamilyCustomer": [0, 0, 0, 1],
-        "RetentionRiskScore": [5, 1, 3, 1],
-        "RetentionRiskBucket": ["Critical", "Minimal", "Moderate", "Minimal"],
-        "HighCharge_MTM": [0, 0, 0, 0],
+        "CustomerLifetimeEstimate": [30.5, 1110.06, 85.0, 702.0],
+        "SupportUsageScore": [0, 2, 0, 0],
+        "StreamingUsageScore": [1, 0, 2, 0],
+        "InternetServiceCategory": ["Standard", "High-Speed", "High-Speed", "None"],
+        "FamilyCustomer": [0, 1, 0, 0],
+        "RetentionRiskScore": [5, 0, 5, 0],
+        "RetentionRiskBucket": ["Critical", "Minimal", "Critical", "Minimal"],
+        "HighCharge_MTM": [0, 0, 1, 0],
         "NewNoSupport": [1, 0, 0, 0],
-        "FiberNoSecurity": [1, 0, 1, 0],
-        "ChargeXTenure": [20.0, 600.0, 2700.0, 6175.0],
+        "FiberNoSecurity": [0, 0, 1, 0],
+        "ChargeXTenure": [60.0, 1500.0, 3360.0, 1365.0],
     }
     assert {name: column(done, name) for name in expected} == expected
 
 
 def test_no_nulls_and_more_columns(base, done):
     assert all(value is not None for row in done.values() for value in row.values())
-    assert len(done[1]) == len(base.columns) + 17
+    assert len(done[2]) == len(base.columns) + 17
 
 
 def test_month_zero_falls_back_to_the_charge(spark):
@@ -111,7 +111,7 @@ def test_absent_service_columns_count_zero(base):
     partial = base.drop("TechSupport", "DeviceProtection", "StreamingTV")
     done = partial.transform(E.add_support_usage_score).transform(E.add_streaming_usage_score)
     assert rows(done, "tenure", "SupportUsageScore", "StreamingUsageScore") == [
-        (1, 0, 1), (12, 1, 0), (36, 0, 0), (65, 0, 0),
+        (2, 0, 1), (24, 1, 0), (40, 0, 1), (70, 0, 0),
     ]
 
 
