@@ -2,9 +2,10 @@
 
 A rolling hash over the bytes of a text cuts it into chunks, so equal passages of different documents fall into equal chunks.
 Chunks are counted by their digest first. A chunk that is met twice or more is encoded once for the whole table and its ids go
-to the documents that hold it; the stretches between such chunks travel compressed and are encoded where the document is put
-together. A document without shared chunks is encoded where it is read, so its text crosses no shuffle. Which
-chunks may be shared is asked of a bitmap of bounded size: a false alarm only sends a chunk the longer way.
+once to every task that puts documents with it together; the stretches between such chunks travel compressed and are encoded
+there. Documents whose least shared chunk is the same, copies above all, go to the same task, or to as many as their bytes fill, so
+few tasks ask for a chunk. A document without shared chunks is encoded where it is read, so its text crosses no shuffle. Which
+chunks may be shared is asked of a Bloom filter of bounded size: a false alarm only sends a chunk the longer way.
 
 The ids of the chunks of a document side by side are wrong around the joins, where a cut went through a word. They are repaired by
 re-encoding: whatever the ids are, a place between a visible character and ASCII white space is an edge of the pre-tokenizer,
@@ -35,8 +36,8 @@ from ebbtide.llm.workspace import Workspace, partitions
 
 #: Bytes that the rolling hash sees, and chunk sizes: a cut at one place of 2 ** CUT_BITS, never below LEAST or above MOST bytes.
 REACH, CUT_BITS, LEAST, MOST = 32, 9, 128, 8192
-#: Bits of the bitmap of shared chunks: sixteen for each, within these bounds.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Bits of the filter of shared chunks: thirty-two for each, within these bounds, and four places looked at.
+LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 27, 4
 SPECIAL = "<|endoftext|>"
 
 _gear = mix(np.arange(1, 257, dtype=np.uint64))
@@ -222,13 +223,19 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def bitmap(shared: DataFrame) -> np.ndarray:
-    """A bit for every shared chunk, 16 bits a chunk, at least LEAST_BITS and at most MOST_BITS (16 MB) whatever the table is."""
+    """PROBES bits for every shared chunk, in at least LEAST_BITS and at most MOST_BITS (16 MB) whatever the table is.
+
+    With 32 bits a chunk or more, one chunk of 5,000 that nobody shares is a false alarm.
+    """
     size = LEAST_BITS
     n = shared.count()
-    while size < min(16 * n, MOST_BITS):
+    while size < min(32 * n, MOST_BITS):
         size *= 2
-    bit = F.col("slot").bitwiseAND(size - 1)
-    words = shared.groupBy(F.shiftright(bit, 6).alias("word")).agg(
+    low = F.col("slot").bitwiseAND(0xFFFFFFFF)
+    high = F.shiftrightunsigned("slot", 32).bitwiseOR(1)
+    bits = shared.select(F.explode(F.array(*((low + i * high).bitwiseAND(size - 1) for i in range(PROBES)))).alias("bit"))
+    bit = F.col("bit")
+    words = bits.groupBy(F.shiftright(bit, 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))).alias("bits")
     )
     found = words.toArrow()
@@ -238,8 +245,14 @@ def bitmap(shared: DataFrame) -> np.ndarray:
 
 
 def is_set(bits: np.ndarray, number: int) -> bool:
-    place = number & (64 * len(bits) - 1)
-    return bool(int(bits[place >> 6]) >> (place & 63) & 1)
+    """Whether the chunk with this slot may be shared."""
+    low, high, last = number & 0xFFFFFFFF, (number >> 32) & 0xFFFFFFFF | 1, 64 * len(bits) - 1
+    for _ in range(PROBES):
+        place = low & last
+        if not int(bits[place >> 6]) >> (place & 63) & 1:
+            return False
+        low += high
+    return True
 
 
 def encoded(
@@ -257,13 +270,10 @@ def encoded(
     shared = work.keep(counted(rows).where("n > 1").select("slot"))
     bits = bitmap(shared)
     # Written: its row numbers hold only as long as nobody computes them again.
-    open_rows = work.keep(_pieces(rows, bits, kept))
+    open_rows = _placed(work.keep(_pieces(rows, bits, kept)))
     whole = _alone(rows, bits, path, kept)
-    # A chunk that a third of all documents hold is dealt to a third of the tasks.
-    wanted = _wanted(open_rows, max(1, partitions(spark) // 3))
-    dealt = _encoded_once(rows, wanted.select("digest", "salt").distinct(), bits, path)
-    repaired = _assembled(_filled(open_rows, wanted, dealt), path, kept)
-    out = whole.unionByName(repaired)
+    dealt = _encoded_once(rows, _wanted(open_rows), bits, path)
+    out = whole.unionByName(_assembled(open_rows, dealt, path, kept))
     return out.select("kept.*", F.col("ids").alias(into))
 
 
@@ -298,56 +308,93 @@ def _ids_batch(kept: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pieces(rows: DataFrame, bits: np.ndarray, kept: str) -> DataFrame:
-    """The documents that may share chunks: a row for every shared chunk (its digest) and every stretch between (compressed text)."""
+    """The documents that may share chunks, a row each.
+
+    names: the digests of the shared chunks side by side; turns: for each piece in order 0, a shared chunk, or the bytes of a
+    stretch between; own: those stretches side by side, compressed. lead: the least slot of the shared chunks, size: all bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for i, parts in enumerate(chunked(batch.column("text").to_pylist())):
                 names = _may_be_shared(bits, parts)
                 if not any(names):
                     continue
                 number += 1
-                pieces: list[tuple] = []
-                own: list[bytes] = []
-                for part, name in zip([*parts, b""], [*names, b""]):
-                    if name is None:
-                        own.append(SPECIAL.encode() if part is None else part)
-                        continue
-                    if own:
-                        pieces.append((None, zstandard.compress(b"".join(own), 3)))
-                        own = []
+                size, turns, own = 0, [], []
+                for part, name in zip(parts, names):
+                    part = SPECIAL.encode() if part is None else part
+                    size += len(part)
                     if name:
-                        pieces.append((name, None))
-                for seq, (name, text) in enumerate(pieces):
-                    for column, value in zip(out, (number, seq, i if seq == 0 else None, name, text)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out[0], pa.int64()),
-                    pa.array(out[1], pa.int32()),
-                    batch.column("kept").take(pa.array(out[2], pa.int32())),
-                    pa.array(out[3], pa.binary()),
-                    pa.array(out[4], pa.binary()),
-                ],
-                names=["row", "seq", "kept", "digest", "own"],
-            )
+                        turns.append(0)
+                        continue
+                    if turns and turns[-1]:
+                        turns[-1] += len(part)
+                    else:
+                        turns.append(len(part))
+                    own.append(part)
+                shared = [n for n in names if n]
+                row = (
+                    number,
+                    min(map(slot, shared)),
+                    size,
+                    i,
+                    b"".join(shared),
+                    np.array(turns, dtype="<i8").tobytes(),
+                    zstandard.compress(b"".join(own), 3) if own else b"",
+                )
+                for column, value in zip(out, row):
+                    column.append(value)
+            columns = [pa.array(x, pa.int64()) for x in out[:3]]
+            columns += [batch.column("kept").take(pa.array(out[3], pa.int32()))]
+            columns += [pa.array(x, pa.binary()) for x in out[4:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "lead", "size", "kept", "names", "turns", "own"])
+
+    return rows.mapInArrow(
+        run, f"row bigint, lead bigint, size bigint, kept {kept}, names binary, turns binary, own binary"
+    )
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """The pieces with a salt, the number of the task that puts the document together.
+
+    Documents with one lead go together unless their bytes are more than a task's share of all; then they are spread over as many
+    tasks as shares. At most as many leads as tasks can have more than a share, which bounds what is broadcast.
+    """
+    n = partitions(pieces.sparkSession)
+    total = pieces.agg(F.sum("size")).first()[0] or 1
+    heavy = pieces.groupBy("lead").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * n > total)
+    heavy = heavy.select("lead", F.ceil(F.col("bytes") * n / total).alias("spread"))
+    turn = F.pmod(F.xxhash64("row"), F.coalesce("spread", F.lit(1)))
+    salt = F.pmod(F.xxhash64("lead", turn), F.lit(n)).cast("int")
+    return pieces.join(F.broadcast(heavy), "lead", "left").select("kept", "names", "turns", "own", salt.alias("salt"))
 
-    return rows.mapInArrow(run, f"row bigint, seq int, kept {kept}, digest binary, own binary")
 
+def _wanted(pieces: DataFrame) -> DataFrame:
+    """(digest, salt): which tasks need the ids of which shared chunks; a batch asks once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {
+                (names[at : at + 16], salt)
+                for names, salt in zip(batch.column("names").to_pylist(), batch.column("salt").to_pylist())
+                for at in range(0, len(names), 16)
+            }
+            digests, salts = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(salts, pa.int32())], names=["digest", "salt"]
+            )
 
-def _wanted(pieces: DataFrame, salts: int) -> DataFrame:
-    """(row, seq, kept, digest, salt) of the shared chunks; the salt spreads a chunk that many documents hold."""
-    salt = F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
-    return pieces.where("digest IS NOT NULL").select("row", "seq", "kept", "digest", salt.alias("salt"))
+    return pieces.select("names", "salt").mapInArrow(run, "digest binary, salt int")
 
 
 def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: str) -> DataFrame:
     """(digest, salt, ids): the ids of every chunk that may be shared, at the places (digest, salt) that want them.
 
-    One copy of each text crosses the shuffle from a batch and meets the places of the chunk, which are as many as there are salts at
-    most; the chunk is encoded once and its ids are dealt from there.
+    One copy of each text crosses the shuffle from a batch and meets the places of the chunk; the chunk is encoded once and its ids
+    are dealt from there, once to each place however often that is asked for.
     """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +409,7 @@ def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: st
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
-        last, ids = None, b""
+        last, ids, dealt = None, b"", None
         for batch in batches:
             use = coder(path, made)
             out: list[list] = [[], [], []]
@@ -370,8 +417,9 @@ def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: st
             for name, salt, chunk in zip(*columns):
                 if name != last:
                     # Rows with the text come before the places.
-                    last, ids = name, use.pack(use.encode(chunk))
-                elif chunk is None:
+                    last, ids, dealt = name, use.pack(use.encode(chunk)), None
+                elif chunk is None and salt != dealt:
+                    dealt = salt
                     for column, value in zip(out, (name, salt, ids)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -386,28 +434,28 @@ def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: st
     return found.mapInArrow(once, "digest binary, salt int, ids binary")
 
 
-def _filled(pieces: DataFrame, wanted: DataFrame, dealt: DataFrame) -> DataFrame:
-    """The pieces, with the ids of the shared chunks in place of their digests."""
-    none = F.lit(None).cast("binary")
-    own = pieces.where("digest IS NULL").select("row", "seq", "kept", none.alias("ids"), "own")
-    shared = wanted.join(dealt, ["digest", "salt"]).select("row", "seq", "kept", "ids", none.alias("own"))
-    return own.unionByName(shared)
+def _assembled(pieces: DataFrame, dealt: DataFrame, path: str, kept: str) -> DataFrame:
+    """One row per document from its pieces, joins repaired.
 
-
-def _assembled(pieces: DataFrame, path: str, kept: str) -> DataFrame:
-    """One row per document from its pieces, joins repaired; a task holds one document at a time."""
+    A task gets the ids of its chunks first, each once, and keeps them compressed: never more than the documents of the task hold.
+    """
     n = partitions(pieces.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
-        use = coder(path, made)
-        current, parts, row_of = None, [], None
+        known: dict[bytes, bytes] = {}
 
-        def whole() -> np.ndarray:
+        def whole(use: Coder, names: bytes, turns: bytes, own: bytes) -> np.ndarray:
+            data, done, used = zstandard.decompress(own) if own else b"", 0, 0
             split: list[np.ndarray | None] = []
-            for part in parts:
-                marks = np.flatnonzero(part == use.special)
-                for k, stretch in enumerate(np.split(part, marks)):
+            for turn in np.frombuffer(turns, dtype="<i8").tolist():
+                if turn:
+                    part = use.encode(data[done : done + turn])
+                    done += turn
+                else:
+                    part = use.unpack(known[names[used : used + 16]])
+                    used += 16
+                for k, stretch in enumerate(np.split(part, np.flatnonzero(part == use.special))):
                     if k:
                         split.append(None)
                         stretch = stretch[1:]
@@ -415,22 +463,28 @@ def _assembled(pieces: DataFrame, path: str, kept: str) -> DataFrame:
             return use.merged(split)
 
         for batch in batches:
-            heads, ids = [], []
-            columns = [batch.column(c).to_pylist() for c in ("row", "ids", "own")]
-            for i, (row, data, own) in enumerate(zip(*columns)):
-                if row != current:
-                    if current is not None:
-                        heads.append(row_of)
-                        ids.append(whole())
-                    current, parts, row_of = row, [], batch.column("kept").slice(i, 1)
-                parts.append(use.unpack(data) if data is not None else use.encode(zstandard.decompress(own)))
-            if heads:
-                yield _ids_batch(pa.concat_arrays(heads), ids)
-        if current is not None:
-            yield _ids_batch(row_of, [whole()])
-
-    sorted_rows = pieces.repartition(n, "row").sortWithinPartitions("row", "seq")
-    return sorted_rows.mapInArrow(run, f"kept {kept}, ids array<int>")
+            use = coder(path, made)
+            at, ids = [], []
+            columns = [batch.column(c).to_pylist() for c in ("names", "turns", "own")]
+            for i, (names, turns, own) in enumerate(zip(*columns)):
+                if turns is None:
+                    known[names] = own
+                else:
+                    at.append(i)
+                    ids.append(whole(use, names, turns, own))
+            if at:
+                yield _ids_batch(batch.column("kept").take(pa.array(at, pa.int32())), ids)
+
+    chunks_of = dealt.select(
+        F.lit(None).cast(kept).alias("kept"),
+        F.col("digest").alias("names"),
+        F.lit(None).cast("binary").alias("turns"),
+        F.col("ids").alias("own"),
+        "salt",
+    )
+    both = chunks_of.unionByName(pieces).repartitionById(n, F.col("salt"))
+    first = both.sortWithinPartitions(F.col("turns").isNotNull())
+    return first.drop("salt").mapInArrow(run, f"kept {kept}, ids array<int>")
 
 
 def decoded(
