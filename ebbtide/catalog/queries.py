@@ -443,7 +443,9 @@ def stream_scores(spark, sf_dir):
     """The events as a stream, all of what is there, read back from the sink."""
     folder = shared_dir(spark, "stream")
     known = rule_scorer(subscribers_with_key(spark, sf_dir)).select("c_custkey", S.PROBABILITY)
-    scored = score_events(read_events(spark, sf_dir), known)
+    # Written: every batch of the stream reads it.
+    known.write.parquet(f"{folder}/known")
+    scored = score_events(read_events(spark, sf_dir), spark.read.schema(known.schema).parquet(f"{folder}/known"))
     write_scores(scored, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/scores").drop("batch")
 
