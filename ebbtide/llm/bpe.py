@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -39,6 +40,8 @@ REACH, CUT_BITS, LEAST, MOST = 32, 9, 128, 8192
 #: Bits of the filter of shared chunks: thirty-two for each, within these bounds, and four places looked at.
 LEAST_BITS, MOST_BITS, PROBES = 1 << 20, 1 << 27, 4
 SPECIAL = "<|endoftext|>"
+#: Bytes of text, and tokens, that a task works on at a time, or one longer text.
+AT_ONCE, TOKENS_AT_ONCE = 1 << 22, 1 << 20
 
 _gear = mix(np.arange(1, 257, dtype=np.uint64))
 _space = np.zeros(256, dtype=bool)
@@ -209,11 +212,18 @@ def coder(path: str | None, made: dict) -> Coder:
     return made[path]
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most AT_ONCE bytes of text, so that a task's memory does not follow the rows of a batch."""
+    for batch in batches:
+        for part in slices(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist(), AT_ONCE):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(slot, n): how often each chunk occurs; a batch adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [slot(digest(c)) for parts in chunked(batch.column("text").to_pylist()) for c in parts if c]
             values, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["slot", "n"])
@@ -256,13 +266,19 @@ def is_set(bits: np.ndarray, number: int) -> bool:
 
 
 def encoded(
-    docs: DataFrame, path: str | None = None, keep: list[str] | None = None, into: str = "ids"
+    docs: DataFrame, path: str | None = None, keep: list[str] | None = None, into: str = "ids", back: str | None = None
 ) -> DataFrame:
-    """The kept columns and the token ids (array of int) of every document's whole text."""
+    """The kept columns and the token ids (array of int) of every document's whole text.
+
+    back: the name of a column with the text that `decoded` gives for these ids, which the task that has them decodes at once; so
+    they need not go to a second Python worker.
+    """
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
-    if into in keep:
-        raise ValueError(f"a kept column is called {into}")
+    for name in {into, back} & set(keep):
+        raise ValueError(f"a kept column is called {name}")
+    if into == back:
+        raise ValueError(f"two columns would be called {into}")
     path = vocabulary(path)
     work = Workspace(spark, "bpe")
     rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce("text", F.lit("")).alias("text"))
@@ -271,10 +287,10 @@ def encoded(
     bits = bitmap(shared)
     # Written: its row numbers hold only as long as nobody computes them again.
     open_rows = _placed(work.keep(_pieces(rows, bits, kept)))
-    whole = _alone(rows, bits, path, kept)
+    whole = _alone(rows, bits, path, kept, back is not None)
     dealt = _encoded_once(rows, _wanted(open_rows), bits, path)
-    out = whole.unionByName(_assembled(open_rows, dealt, path, kept))
-    return out.select("kept.*", F.col("ids").alias(into))
+    out = whole.unionByName(_assembled(open_rows, dealt, path, kept, back is not None))
+    return out.select("kept.*", F.col("ids").alias(into), *([F.col("text").alias(back)] if back else []))
 
 
 def _may_be_shared(bits: np.ndarray, parts: list[bytes | None]) -> list[bytes | None]:
@@ -283,12 +299,12 @@ def _may_be_shared(bits: np.ndarray, parts: list[bytes | None]) -> list[bytes |
     return [n if n and is_set(bits, slot(n)) else None for n in names]
 
 
-def _alone(rows: DataFrame, bits: np.ndarray, path: str, kept: str) -> DataFrame:
+def _alone(rows: DataFrame, bits: np.ndarray, path: str, kept: str, back: bool) -> DataFrame:
     """The ids of the documents that share no chunk, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
-        for batch in batches:
+        for batch in in_parts(batches):
             use = coder(path, made)
             at, ids = [], []
             texts = batch.column("text").to_pylist()
@@ -296,15 +312,23 @@ def _alone(rows: DataFrame, bits: np.ndarray, path: str, kept: str) -> DataFrame
                 if not any(_may_be_shared(bits, parts)):
                     at.append(i)
                     ids.append(use.encode(texts[i].encode("utf-8", "replace")))
-            yield _ids_batch(batch.column("kept").take(pa.array(at, pa.int32())), ids)
+            yield _ids_batch(use, batch, at, ids, back)
 
-    return rows.mapInArrow(run, f"kept {kept}, ids array<int>")
+    return rows.mapInArrow(run, _ids_schema(kept, back))
 
 
-def _ids_batch(kept: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+def _ids_schema(kept: str, back: bool) -> str:
+    return f"kept {kept}, ids array<int>" + (", text string" if back else "")
+
+
+def _ids_batch(use: Coder, batch: pa.RecordBatch, at: list[int], ids: list[np.ndarray], back: bool) -> pa.RecordBatch:
+    """The rows of a batch at some places with their ids and, if asked for, the text that these decode to."""
     offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
     flat = np.concatenate([*ids, np.zeros(0, dtype=np.uint32)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([kept, pa.ListArray.from_arrays(offsets, flat)], names=["kept", "ids"])
+    columns = {"kept": batch.column("kept").take(pa.array(at, pa.int32())), "ids": pa.ListArray.from_arrays(offsets, flat)}
+    if back:
+        columns["text"] = pa.array([use.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _pieces(rows: DataFrame, bits: np.ndarray, kept: str) -> DataFrame:
@@ -316,7 +340,7 @@ def _pieces(rows: DataFrame, bits: np.ndarray, kept: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[list] = [[], [], [], [], [], [], []]
             for i, parts in enumerate(chunked(batch.column("text").to_pylist())):
                 names = _may_be_shared(bits, parts)
@@ -398,7 +422,7 @@ def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: st
     """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found: dict[bytes, bytes] = {}
             for parts in chunked(batch.column("text").to_pylist()):
                 found |= {name: part for name, part in zip(_may_be_shared(bits, parts), parts) if name}
@@ -434,7 +458,7 @@ def _encoded_once(rows: DataFrame, places: DataFrame, bits: np.ndarray, path: st
     return found.mapInArrow(once, "digest binary, salt int, ids binary")
 
 
-def _assembled(pieces: DataFrame, dealt: DataFrame, path: str, kept: str) -> DataFrame:
+def _assembled(pieces: DataFrame, dealt: DataFrame, path: str, kept: str, back: bool) -> DataFrame:
     """One row per document from its pieces, joins repaired.
 
     A task gets the ids of its chunks first, each once, and keeps them compressed: never more than the documents of the task hold.
@@ -464,16 +488,20 @@ def _assembled(pieces: DataFrame, dealt: DataFrame, path: str, kept: str) -> Dat
 
         for batch in batches:
             use = coder(path, made)
-            at, ids = [], []
+            at, ids, held = [], [], 0
             columns = [batch.column(c).to_pylist() for c in ("names", "turns", "own")]
             for i, (names, turns, own) in enumerate(zip(*columns)):
                 if turns is None:
                     known[names] = own
-                else:
-                    at.append(i)
-                    ids.append(whole(use, names, turns, own))
+                    continue
+                at.append(i)
+                ids.append(whole(use, names, turns, own))
+                held += len(ids[-1])
+                if held > TOKENS_AT_ONCE:
+                    yield _ids_batch(use, batch, at, ids, back)
+                    at, ids, held = [], [], 0
             if at:
-                yield _ids_batch(batch.column("kept").take(pa.array(at, pa.int32())), ids)
+                yield _ids_batch(use, batch, at, ids, back)
 
     chunks_of = dealt.select(
         F.lit(None).cast(kept).alias("kept"),
@@ -484,7 +512,7 @@ def _assembled(pieces: DataFrame, dealt: DataFrame, path: str, kept: str) -> Dat
     )
     both = chunks_of.unionByName(pieces).repartitionById(n, F.col("salt"))
     first = both.sortWithinPartitions(F.col("turns").isNotNull())
-    return first.drop("salt").mapInArrow(run, f"kept {kept}, ids array<int>")
+    return first.drop("salt").mapInArrow(run, _ids_schema(kept, back))
 
 
 def decoded(
@@ -502,10 +530,13 @@ def decoded(
         made: dict = {}
         for batch in batches:
             use = coder(path, made)
-            column = batch.column("ids")
-            # A null list has no values of its own between its offsets.
-            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            texts = [use.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string())], names=["kept", "text"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+            for part in slices(sizes, TOKENS_AT_ONCE):
+                some = batch.slice(part.start, part.stop - part.start)
+                column = some.column("ids")
+                # A null list has no values of its own between its offsets.
+                flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+                texts = [use.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([some.column("kept"), pa.array(texts, pa.string())], names=["kept", "text"])
 
     return rows.mapInArrow(run, f"kept {kept}, text string").select("kept.*", F.col("text").alias(into))

@@ -108,8 +108,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encoded(table(spark, sf_dir, "documents"))
-    back = bpe.decoded(ids, keep=["doc_id", "ids"])
+    back = bpe.encoded(table(spark, sf_dir, "documents"), back="text")
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return back.select(
         "doc_id",

@@ -9,7 +9,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.llm import audit, bpe, queries, resample
+from ebbtide.llm import audit, bpe, queries, resample, toxicity
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -61,6 +61,11 @@ def test_bpe_against_the_library(spark):
         bpe.encoded(docs, keep=["doc_id", "ids"])
     assert bpe.encoded(docs, keep=["ids"], into="tokens").columns == ["ids", "tokens"]
     assert bpe.encoded(docs.where("false")).collect() == []
+    both = bpe.encoded(docs, into="tokens", back="again").select("doc_id", "tokens", "again").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, list(r.tokens)) for r in both) == wanted
+    assert sorted((r.doc_id or 0, r.again) for r in both) == sorted((i or 0, t or "") for i, t, _ in rows)
+    with pytest.raises(ValueError):
+        bpe.encoded(docs, back="ids")
 
 
 def test_shared_chunks_are_encoded_once(spark):
@@ -93,6 +98,36 @@ def test_op11_against_the_library(spark, sf):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found} == wanted and len(found) == len(rows)
 
 
+def test_few_leads_share_a_task_and_a_busy_one_is_spread(spark):
+    rows = [(i, 7 if i % 3 == 0 else i, 1000, (i,), b"", b"", b"") for i in range(3_000)]
+    schema = "row bigint, lead bigint, size bigint, kept struct<doc_id: bigint>, names binary, turns binary, own binary"
+    placed = bpe._placed(spark.createDataFrame(rows, schema)).select("kept.doc_id", "salt").collect()
+    n = bpe.partitions(spark)
+    assert len(placed) == 3_000 and {r.salt for r in placed} <= set(range(n))
+    busy = [r.salt for r in placed if r.doc_id % 3 == 0]
+    assert len(set(busy)) > 1 and max(map(busy.count, set(busy))) < len(busy)
+
+
+def test_filter_of_shared_chunks_has_few_false_alarms(spark):
+    slots = [bpe.slot(bpe.digest(str(i).encode())) for i in range(60_000)]
+    bits = bpe.bitmap(spark.createDataFrame([(s,) for s in slots[:40_000]], "slot bigint"))
+    assert all(bpe.is_set(bits, s) for s in slots[:40_000])
+    assert sum(bpe.is_set(bits, s) for s in slots[40_000:]) < 40
+
+
+# --- the toxicity sample
+
+
+def test_toxicity_sample_has_a_row_an_id(spark):
+    rows = [(i % 4, f"text number {i}", "en") for i in range(4_000)] + [(None, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    known = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1)], "doc_id bigint, toxic int")
+    found = toxicity.sampled(docs, known, most=30).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3] and all(r.toxic == r.doc_id % 2 for r in found)
+    again = toxicity.sampled(docs.repartition(3), known, most=30).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+
+
 # --- resampling
 
 
