@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ebbtide import schema as S
 from ebbtide.functions.numeric import half_even, uniform, uniform_sql
 from ebbtide.operators.score import rule_score, sigmoid
+from ebbtide.shared import shuffle_partitions
 from ebbtide.sources.subscribers import CONTRACT_CUTS, draw_attributes, pick_sql, subscriber_id
 
 # Ranges of the parts of the monthly charge.
@@ -54,6 +55,8 @@ def generate_from_keys(
     Every draw is a hash of seed, key and field, so the same key always gives the
     same customer. ``blanks`` customers have a blank TotalCharges. Keys must be unique.
     """
+    # Keys alone are few bytes, so a large table of them is few tasks, but a customer is some fifty hashes.
+    keys = keys.select(key).repartition(shuffle_partitions(keys.sparkSession), key)
     keys = keys.select(F.col(key).alias("_key"), F.concat_ws(":", F.lit(seed), F.col(key)).alias("_draw"))
     draw = "_draw"
     df = draw_attributes(keys, draw).withColumns(

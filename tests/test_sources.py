@@ -102,3 +102,11 @@ def test_subscriber_view(spark, sf):
     assert table.columns == S.RAW_COLUMNS and table.count() == 150
     blank = table.filter("TotalCharges = ' '")
     assert blank.count() == table.filter("tenure = 0").count()
+
+
+def test_few_files_of_keys_are_dealt_to_many_tasks(spark, sf):
+    """The hashes of a customer are drawn in as many tasks as there are shuffle partitions, however few files the keys come in."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = spark.range(1, 2001, numPartitions=1)
+    assert generate_from_keys(keys).rdd.getNumPartitions() == parts
+    assert subscribers(spark, sf).rdd.getNumPartitions() == parts
