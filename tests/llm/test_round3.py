@@ -6,6 +6,7 @@ import random
 import zlib
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,37 @@ def test_toxicity_sample_has_a_row_an_id(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
 
+def test_toxicity_trains_on_every_labelled_row(spark, monkeypatch):
+    """20,000 toxic rows: the sample took 6,000 of a label. A word that a few rows hold is known, whichever rows they are."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    docs = spark.range(30_000).selectExpr(
+        "id AS doc_id", "concat(if(id % 3 < 2, 'awful stuff ', 'kind stuff '), 'only', int(id / 4)) AS text", "'en' AS lang"
+    )
+    marks = docs.selectExpr("doc_id", "int(doc_id % 3 < 2) AS toxic")
+    trained, seen = toxicity.trained, []
+
+    def watched(rows, count, share):
+        seen.append((rows.count(), count, round(share, 2)))
+        return trained(rows, count, share)
+
+    monkeypatch.setattr(toxicity, "trained", watched)
+    model = toxicity.learned(docs, marks)
+    assert seen[0][0] == seen[0][1] and 22_000 < seen[0][1] < 23_000 and seen[0][2] == 0.67
+    scores = {r.doc_id: r.toxicity for r in toxicity.scored(docs.where("doc_id < 300"), model).collect()}
+    assert all((scores[i] > 0.5) == (i % 3 < 2) for i in scores)
+    # The calibration counts all held rows too: a map of the logit to the true share.
+    assert abs(sum(scores.values()) / len(scores) - 2 / 3) < 0.05
+    again = toxicity.learned(docs.repartition(7), marks)
+    assert (again.embedding == model.embedding).all() and again.thresholds == model.thresholds and again.scale == model.scale
+
+
+def test_long_texts_are_cut_to_their_peaks():
+    model = toxicity.Model.fresh()
+    words = np.random.default_rng(5).integers(0, toxicity.BUCKETS, 120_000)
+    short = toxicity._peaks(model, words, 5_000)
+    assert len(short) < 10_000 and (toxicity._batch(model, [short])[1] == toxicity._batch(model, [words])[1]).all()
+
+
 # --- resampling
 
 
