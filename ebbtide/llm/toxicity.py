@@ -282,7 +282,11 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from all documents in labels (doc_id, toxic). Of several labels for one doc_id the larger counts, of several texts one."""
     known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 3
-    rows = hashed(docs, known).withColumn("held", held).persist(StorageLevel.DISK_ONLY)
+    parts = max(1, -(-known.count() // PART_ROWS))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts)).cast("int")
+    # Dealt and put in order once: a filter keeps both.
+    rows = hashed(docs, known).select("doc_id", "toxic", "lang", "words", held.alias("held"), part.alias("part"))
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.xxhash64("doc_id"), "doc_id").persist(StorageLevel.DISK_ONLY)
     sizes = {(r["toxic"], r["held"]): r["n"] for r in rows.groupBy("toxic", "held").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     share = sum(n for (y, _), n in sizes.items() if y == 1) / total if total else 0.0
@@ -294,7 +298,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     apart = len(sizes) == 4
     used = rows.where("NOT held") if apart else rows
     n = sum(n for (_, h), n in sizes.items() if not (apart and h))
-    model = trained(used, n, sum(m for (y, h), m in sizes.items() if y == 1 and not (apart and h)) / n)
+    model = trained(used, sum(m for (y, h), m in sizes.items() if y == 1 and not (apart and h)) / n)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,8 +331,8 @@ def _unflat(model: Model, memory: list[np.ndarray], rows: np.ndarray) -> None:
         x[...], rest = rest[: x.size].reshape(x.shape), rest[x.size :]
 
 
-def trained(rows: DataFrame, count: int, share: float) -> Model:
-    """A network from all rows (doc_id, toxic, words), count of them, the given share toxic."""
+def trained(rows: DataFrame, share: float) -> Model:
+    """A network from all rows (part, toxic, words), in order of their parts, the given share toxic."""
 
     def words(column: pa.Array) -> list[np.ndarray]:
         return [np.frombuffer(w, dtype="<u2").astype(np.int64) for w in column.to_pylist()]
@@ -347,11 +351,7 @@ def trained(rows: DataFrame, count: int, share: float) -> Model:
         counts[r["toxic"], r["word"]] = r["n"]
     model, memory, rare = begun(counts, share)
 
-    parts = -(-count // PART_ROWS)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts)).cast("int")
-    dealt = rows.select(part.alias("part"), "toxic", "words", "doc_id").repartition(parts, "part")
-    dealt = dealt.sortWithinPartitions("part", F.xxhash64("doc_id"), "doc_id").select("part", "toxic", "words")
-    dealt = dealt.persist(StorageLevel.DISK_ONLY)
+    dealt = rows.select("part", "toxic", "words")
     columns = [f"c{i}" for i in range(2 * SIZE)]
     for turn in range(EPOCHS):
         start = (model, memory, rare)
@@ -397,7 +397,6 @@ def trained(rows: DataFrame, count: int, share: float) -> Model:
         model.embedding[names[at]], memory[0][names[at]] = table[at, :SIZE], np.maximum(table[at, SIZE:], 1e-4)
         _unflat(model, memory, table[~at])
         memory[1:] = [np.maximum(x, 1e-6) for x in memory[1:]]
-    dealt.unpersist()
     return model
 
 

@@ -152,3 +152,26 @@ def test_vector_importance_finds_the_driving_slot(vectors):
     assert roc_auc(labelled).first()[0] == 1.0
     found = explain.vector_permutation_importance(labelled, linear_model, ["a", "b", "c"], 2).collect()
     assert [r["feature"] for r in found][0] == "a" and found[0]["importance_mean"] > found[-1]["importance_mean"]
+
+
+def test_only_unlike_values_are_scored(spark):
+    """Vectors that agree in all slots but one: mixtures of equal values were scored over and over."""
+    seen = []
+
+    def watched(df):
+        seen.append(df)
+        return linear_model(df)
+
+    flat = spark.range(20).select(
+        F.col("id").cast("string").alias(S.ID), (F.col("id") % 2).cast("int").alias(S.LABEL),
+        array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0), F.lit(2.0))).alias("features"),
+    )
+    background = explain.background_rows(flat.filter(f"{S.ID} = '3'"), 1)
+    shares = explain.shapley_sampling(flat, background, watched, ["a", "b", "c"], permutations=2).collect()
+    assert seen[-1].count() == 2 * (2 * 19 + 1)
+    assert len(shares) == 20 * 4
+    for r in shares:
+        wanted = {"a": 2.0 * (int(r[S.ID]) - 3), "base value": 0.25 + 6.0 - 1.0 + 1.0}.get(r["feature"], 0.0)
+        assert r["phi"] == pytest.approx(wanted)
+    found = explain.vector_permutation_importance(flat, watched, ["a", "b", "c"], 2).collect()
+    assert seen[-1].count() == 2 * 20 and {r["feature"] for r in found} == {"a", "b", "c"}

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ebbtide import schema as S
 from ebbtide.catalog.queries import rule_scored
 from ebbtide.operators import clean, evaluate, insights, score
 from ebbtide.operators.features import engineer_features
 from ebbtide.operators.score import rule_scorer
+from ebbtide.plans import training
 from ebbtide.plans.preprocessing import prepare_scoring
 from ebbtide.sources.subscribers import subscribers
 
@@ -77,3 +79,15 @@ def test_copies_collapse_before_their_shuffle(spark, table):
     text = plan(lean)
     assert text.count("HashAggregate") == 2 and text.count("hashpartitioning") == 1
     assert lean.count() == table.count()
+
+
+def test_passes_over_few_rows_take_few_tasks(spark):
+    """With 400 shuffle partitions each of the hundreds of jobs of a fit had 400 tasks."""
+    rows = spark.range(300).selectExpr(f"string(id) AS {S.ID}").repartition(400)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        found = training.for_passes(rows)
+        assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism < 400 and found.count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
