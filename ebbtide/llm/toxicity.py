@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -97,6 +98,13 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
     return [buckets[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
+def bounded(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The words of the texts of a column (null: none), a bounded stretch of texts at a time: hashing takes many times their size."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for part in slices(sizes):
+        yield words_of([t or "" for t in column[part].to_pylist()])
+
+
 def _batch(model: Model, texts: list[np.ndarray]):
     """(largest responses, where they are) of a batch of texts of any lengths."""
     pads = np.full(PAD, BUCKETS, dtype=np.int64)
@@ -262,7 +270,7 @@ def hashed(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.astype("<u2").tobytes() for x in words_of(batch.column(2).to_pylist())]
+            found = [x.astype("<u2").tobytes() for part in bounded(batch.column(2)) for x in part]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["doc_id", "lang", "words"])
 
     # Words are a third of their texts, so they are hashed before they are shuffled.
@@ -406,8 +414,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            logits = np.array([model.logit(w) for part in slices([len(t) for t in texts]) for w in words_of(texts[part])])
+            logits = np.array([model.logit(w) for part in bounded(batch.column(at)) for w in part])
             score = pa.array(model.score(logits.reshape(-1)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "toxicity"])
 
