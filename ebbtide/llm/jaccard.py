@@ -113,7 +113,9 @@ def sketches(docs: DataFrame, words: int = 5, row: str | None = None) -> DataFra
 def tree(vertices: DataFrame, work: Workspace, runs: int, small: int, same: float = 0.5) -> DataFrame:
     """(bucket, id) of the leaves: buckets small enough, or alike enough, to be compared.
 
-    vertices has (id, sketch). Per level, two passes: count each child, then send on what is still large.
+    vertices has (id, sketch). Per level, two passes: count each child, then send on what is still large. The leaves of a level
+    are written before the next one: every task of a stage reports the metrics of all its plan to the driver, so one stage
+    over all levels would cost the driver the square of their number.
     """
 
     def child(node, place) -> F.Column:
@@ -145,11 +147,13 @@ def tree(vertices: DataFrame, work: Workspace, runs: int, small: int, same: floa
                 .select("node")
             )
             likeness = work.keep(likeness)
-            leaves.append(level.join(likeness, "node", "left_semi").select(F.col("node").alias("bucket"), "id").distinct())
             counts = counts.join(likeness, "node", "left_anti")
         last = depth == DEPTH - 1
         ends = F.lit(True) if last else F.col("n") <= small
-        leaves.append(level.join(counts.where(ends).select("bucket"), "bucket", "left_semi").select("bucket", "id"))
+        found = level.join(counts.where(ends).select("bucket"), "bucket", "left_semi").select("bucket", "id")
+        if depth:
+            found = found.union(level.join(likeness, "node", "left_semi").select(F.col("node").alias("bucket"), "id"))
+        leaves.append(work.write(found))
         if last:
             break
         more = level.join(counts.where(~ends).select("bucket"), "bucket", "left_semi").select(F.col("bucket").alias("node"), "id")
@@ -166,10 +170,7 @@ def tree(vertices: DataFrame, work: Workspace, runs: int, small: int, same: floa
             .select("id", "node", "place", child(F.col("node"), F.col("place")).alias("bucket"))
             .distinct()
         )
-    out = leaves[0]
-    for other in leaves[1:]:
-        out = out.union(other)
-    return out.distinct()
+    return work.spark.read.schema(found.schema).parquet(*leaves).distinct()
 
 
 def alike_sketches(least: float):

@@ -316,10 +316,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 
     # All rows in counts: at most 15,361 places a label and language.
     tested = (rows.where("held") if apart else rows).select("toxic", "lang", "words").mapInArrow(logits, "toxic int, lang string, place int")
-    found = tested.groupBy("toxic", "lang", "place").agg(F.count("*").alias("n")).orderBy("place", "toxic", "lang").collect()
+    found = tested.groupBy("toxic", "lang", "place").agg(F.count("*").alias("n")).orderBy("place", "toxic", "lang").toArrow()
     rows.unpersist()
-    marks, counts = (np.array([r[k] for r in found], dtype=np.float64) for k in ("toxic", "n"))
-    calibrate(model, np.array([r["place"] for r in found]) / 256, marks, [r["lang"] for r in found], counts=counts)
+    places, marks, counts = (found.column(k).to_numpy().astype(np.float64) for k in ("place", "toxic", "n"))
+    calibrate(model, places / 256, marks, found.column("lang").to_pylist(), counts=counts)
     return model
 
 
@@ -355,8 +355,9 @@ def trained(rows: DataFrame, share: float) -> Model:
 
     counts = np.zeros((2, BUCKETS + 1))
     held = rows.select("toxic", "words").mapInArrow(holders, "toxic bigint, word bigint, n bigint")
-    for r in held.groupBy("toxic", "word").agg(F.sum("n").alias("n")).collect():
-        counts[r["toxic"], r["word"]] = r["n"]
+    # As Arrow columns: a Python object for each of 131,072 counts takes the driver many times their size.
+    found = held.groupBy("toxic", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("toxic").to_numpy(), found.column("word").to_numpy()] = found.column("n").to_numpy()
     model, memory, rare = begun(counts, share)
 
     dealt = rows.select("part", "toxic", "words")
