@@ -112,12 +112,15 @@ def _cells(column: pa.Array) -> Callable:
     return lambda i: column[i].as_py()
 
 
-def plausible(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
+def plausible(
+    members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512, keep: Callable = lambda df: df
+) -> DataFrame:
     """The members that alike() pairs with another one of the same bucket, by a cheaper look than link's.
 
-    Buckets beyond the limit aren't looked at: all their members stay, so they cost one row a member.
+    Buckets beyond the limit aren't looked at: all their members stay, so they cost one row a member. keep: writes a table
+    that is read twice, see Workspace.
     """
-    members = without_repeats(members)
+    members = keep(without_repeats(members))
 
     def handle(bucket: int, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
         found = alike(a, b)
@@ -133,13 +136,15 @@ def plausible(members: DataFrame, payload: DataFrame, data: list[str], alike: Ca
     return looked.union(members.where(F.col("n") > limit).select("bucket", "id"))
 
 
-def link(members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512) -> DataFrame:
+def link(
+    members: DataFrame, payload: DataFrame, data: list[str], alike: Callable, limit: int = 512, keep: Callable = lambda df: df
+) -> DataFrame:
     """(id, n, root): n is the weight linked to id in one pair of blocks, root an id linked to it.
 
     alike(a, b) gets lists of (id, buckets, weight, data...) and returns a boolean matrix. A pair is counted in the smallest
-    bucket that both are in, so no pair counts twice. Sum n per id for its links; (id, root) are the edges.
+    bucket that both are in, so no pair counts twice. Sum n per id for its links; (id, root) are the edges. keep: as in plausible.
     """
-    members = without_repeats(members)
+    members = keep(without_repeats(members))
     lists = members.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
     rows = block_pairs(members, limit).join(payload.join(lists, "id"), "id")
 

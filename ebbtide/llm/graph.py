@@ -32,12 +32,15 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small_lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_lowest, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
+        # Written, as the next step reads it twice: in one plan its tasks would run, and report to the driver, four times.
+        halfway = work.write(large.where("u <> v").distinct())
+        large = work.spark.read.parquet(halfway)
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        moved = F.explode(F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("v", "u"))))
+        small = joined.select(moved.alias("edge")).select("edge.u", "edge.v")
         small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         after = work.write(small)
         work.drop(path)
+        work.drop(halfway)
         path = after
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -270,7 +270,7 @@ def grouped(
     members = work.keep(tree(slim, work, runs, small))
     # Texts are fetched only for those whose sketch agrees with another one's.
     least = least_places(1 - CHEAP * (1 - recall), threshold)
-    members = work.keep(plausible(members, slim, ["sketch"], alike_sketches(least / SKETCH)))
+    members = work.keep(plausible(members, slim, ["sketch"], alike_sketches(least / SKETCH), keep=work.keep))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("check"), text.alias("text"))
     known = vertices.select("id", "weight", "doc_id", "check").join(members.select("id").distinct(), "id", "left_semi")
@@ -281,7 +281,7 @@ def grouped(
     key = [F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("own"), "check"]
     texts = texts.select(*key, "text").dropDuplicates(["missing", "own", "check"])
     payload = known.select("id", "weight", *key).join(texts, ["missing", "own", "check"]).select("id", "weight", "text")
-    found = work.keep(link(members, payload, ["text"], alike_sets(threshold, words)))
+    found = work.keep(link(members, payload, ["text"], alike_sets(threshold, words), keep=work.keep))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), work)
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
     classes = (
@@ -290,6 +290,8 @@ def grouped(
         .join(roots, "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
     )
+    # Written once, as are the keys of `keep_one`: every use in a plan is a set of tasks more that report to the driver.
+    classes = work.keep(classes)
     least = classes.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = classes.join(least, "root").select(
         "digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
@@ -317,7 +319,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = grouped(docs, **options)
     missing, bare = F.col("doc_id").isNull(), F.col("root").isNull()
     # One row per id and text; what has no words is a class of its own.
-    keys = found.groupBy("root", "doc_id", "check").agg(F.count("*").alias("n"))
+    keys = work.keep(found.groupBy("root", "doc_id", "check").agg(F.count("*").alias("n")))
     alone = (F.when(bare, F.col(c)).alias(f"own_{c}") for c in ("doc_id", "check"))
     first = keys.groupBy("root", *alone).agg(F.min(F.struct(missing.alias("missing"), "doc_id", "check")).alias("first"))
     stays = first.select(F.col("first.doc_id"), F.col("first.check"), F.lit(True).alias("stays"))
