@@ -91,3 +91,11 @@ def test_passes_over_few_rows_take_few_tasks(spark):
         assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism < 400 and found.count() == 300
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fits_of_many_rows_do_not_run_side_by_side():
+    """Every fit keeps its rows: twelve at a time of millions of rows would be read from disk at every pass."""
+    assert training.side_by_side(12_000, 3) == (3, 4)
+    assert training.side_by_side(700_000, 3) == (2, 1)
+    assert training.side_by_side(4_000_000, 3) == (1, 1)
+    assert training.side_by_side(0, 1) == (1, 4)
