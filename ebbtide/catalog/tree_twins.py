@@ -6,6 +6,8 @@ after l levels, `best<l>` the splits made on level l, `stat<l>` the totals of th
 
 from __future__ import annotations
 
+from itertools import product
+
 from ebbtide.catalog.oracles import (
     ACCURACY,
     BATCH,
@@ -55,14 +57,14 @@ split_rows AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {draw},
     <= round(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM numbered)"""
 
 
-def binned(p: str, training: str, folds: int) -> str:
+def binned(p: str, training: str, folds: int, bins: int = BINS) -> str:
     """Rows to learn from with their folds, and the bins of all rows."""
     return f"""
 {p}train AS (SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY {u('fold42', 'id')}, id) - 1)
     % {folds})::int AS fold FROM split_rows WHERE {training}),
 {p}long AS (SELECT id, {training} AS learnt, f, x[f + 1] AS v FROM split_rows, unnest(range({WIDTH})) AS g(f)),
 {p}tied AS (SELECT f, v, count(*) AS n FROM {p}long WHERE learnt GROUP BY f, v),
-{p}placed AS (SELECT f, v, (sum(n) OVER (PARTITION BY f ORDER BY v) - n) * {BINS} // sum(n) OVER (PARTITION BY f) AS slot
+{p}placed AS (SELECT f, v, (sum(n) OVER (PARTITION BY f ORDER BY v) - n) * {bins} // sum(n) OVER (PARTITION BY f) AS slot
   FROM {p}tied),
 {p}edges AS (SELECT f, max(v) AS edge, row_number() OVER (PARTITION BY f ORDER BY max(v)) - 1 AS bin
   FROM {p}placed GROUP BY f, slot),
@@ -290,6 +292,193 @@ def by_leaves(p: str, q: str, start: str, leaves: int, spec: dict) -> str:
     return ",".join(parts)
 
 
+# --- whole grids ---------------------------------------------------------------------------------------
+#
+# All fits of a grid grow together in one recursion, a split of every tree a step: t = fit * (folds + 1) + run, the last run on all rows.
+# What differs between fits are columns of `<p>params`.
+
+WHOLE_BINS = 64
+DEEPEST = 30
+
+
+def whole_fits(grid: dict, shared: tuple[str, ...]) -> tuple[list[dict], list[tuple[dict, int]]]:
+    """The fits that a grid needs, those of most trees and the deepest ones, and every candidate with its fit."""
+    own = [name for name in grid if name not in shared]
+    fits = [dict(zip(own, values)) for values in product(*(grid[name] for name in own))]
+    candidates = [dict(zip(grid, values)) for values in product(*grid.values())]
+    return fits, [(c, fits.index({name: c[name] for name in own})) for c in candidates]
+
+
+def values_table(rows: list[tuple], names: str) -> str:
+    return f"(SELECT * FROM (VALUES {', '.join(str(row) for row in rows)}) AS v({names}))"
+
+
+def whole_runs(p: str, folds: int) -> str:
+    """`<p>weights`: params of each fit and run with what its class weights are."""
+    low, high = ("count(*)::double / (2*count(*) FILTER (label = 0))", "count(*)::double / (2*count(*) FILTER (label = 1))")
+    return f"""
+{p}runs AS (SELECT run::int AS run, CASE WHEN run < {folds} THEN run ELSE -1 END AS out FROM unnest(range({folds + 1})) AS g(run)),
+{p}sizes AS (SELECT run, out, {low} AS low, {high} AS high, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+  FROM {p}runs JOIN {p}train ON fold <> out GROUP BY run, out)"""
+
+
+def whole_step(p: str, members: str, columns: str, best_first: bool) -> str:
+    """CTEs of one step from `state` (t, id, path, step) with `params` of t: totals `tot` of the leaves and the splits `pick` made."""
+    limits = ["ln >= min_leaf", "n - ln >= min_leaf", "ln > 0", "n - ln > 0"]
+    limits += [f"{real(x)} >= min_weight" for x in ("lb", "(b-lb)")] + [f"{real(x)}+ridge > 0" for x in ("lb", "(b-lb)")]
+
+    def part(a: str, b: str) -> str:
+        return f"{real(a)}*{real(a)}/({real(b)}+ridge)"
+
+    gain = f"({part('la', 'lb')}+{part('(a-la)', '(b-lb)')})-{part('a', 'b')}"
+    one = "QUALIFY row_number() OVER (PARTITION BY t ORDER BY gain DESC, path) = 1" if best_first else ""
+    return f"""mem AS MATERIALIZED ({members}),
+tot AS MATERIALIZED (SELECT t, path, any_value(step) AS step, sum(a)::bigint AS a, sum(b)::bigint AS b, count(*) AS n FROM mem GROUP BY t, path),
+leaves AS (SELECT tot.t, path, tot.step FROM tot JOIN {p}params q ON q.t = tot.t
+  WHERE tot.step < q.steps AND path < (1::bigint << q.depth) AND n >= greatest(q.min_split, 2 * q.min_leaf)),
+cells AS ({columns}),
+hist AS (SELECT t, path, f, bin, sum(a)::bigint AS a, sum(b)::bigint AS b, count(*) AS n FROM mem JOIN cells USING (t, path)
+  JOIN {p}bins USING (id, f) GROUP BY t, path, f, bin),
+cum AS (SELECT t, path, f, bin, sum(a) OVER w AS la, sum(b) OVER w AS lb, sum(n) OVER w AS ln,
+    sum(a) OVER v AS a, sum(b) OVER v AS b, sum(n) OVER v AS n FROM hist
+  WINDOW w AS (PARTITION BY t, path, f ORDER BY bin), v AS (PARTITION BY t, path, f)),
+found AS (SELECT t, path, f, bin, gain FROM (SELECT cum.*, {gain} AS gain FROM cum JOIN {p}params q USING (t) WHERE {' AND '.join(limits)})
+  WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY t, path ORDER BY gain DESC, f, bin) = 1),
+pick AS (SELECT * FROM found {one})"""
+
+
+MOVED = "CASE WHEN s.f IS NULL THEN g.path WHEN c.bin <= s.bin THEN 2*g.path ELSE 2*g.path + 1 END"
+
+
+def whole_boosted(p: str, grid: dict, folds: int, bins: int = WHOLE_BINS) -> str:
+    """`<p>scores` (run, candidate, id, p) of a whole grid of boosted trees, from margins kept at the numbers of trees asked for."""
+    fits, candidates = whole_fits(grid, ("n_estimators",))
+    counts, leafwise = sorted(set(grid["n_estimators"])), "num_leaves" in grid
+    rows = []
+    for i, fit in enumerate(fits):
+        depth, share = fit["max_depth"], fit.get("colsample_bytree", 1.0)
+        rows.append((
+            i, int(fit.get("class_weight") == "balanced"), float(fit.get("scale_pos_weight", 1)), float(fit["learning_rate"]), float(fit["subsample"]),
+            depth if depth and depth > 0 else DEEPEST, fit["num_leaves"] - 1 if leafwise else depth, WIDTH if share >= 1 else max(1, int(WIDTH * share + 0.5)),
+        ))
+    ridge, weight, leaf = ("0.0", "0.001", 20) if leafwise else ("1.0", "1.0", 1)
+    base = "ln(pos*high/(neg*low))" if leafwise else "0.0::double"
+    steps = max(row[6] for row in rows)
+    members = f"""SELECT t, id, path, step, floor(w*(pr-label)*{UNIT}+0.5)::bigint AS a, floor(w*pr*(1-pr)*{UNIT}+0.5)::bigint AS b
+  FROM (SELECT g.t, g.id, g.path, g.step, label, CASE WHEN label = 1 THEN high ELSE low END AS w, 1/(1+exp(-m)) AS pr
+    FROM state g JOIN {p}params q ON q.t = g.t JOIN {p}train tr ON tr.id = g.id AND fold <> out
+    WHERE {uniform('g.id', "':sub'||g.tree")} < keep)"""
+    columns = f"""SELECT leaves.t, path, f FROM leaves JOIN {p}params q ON q.t = leaves.t JOIN {p}cols k ON place <= take
+  AND k.tree = (SELECT max(tree) FROM state)"""
+    value = f"(-rate*{real('n.a')})/({real('n.b')}+ridge)"
+    ended = f"g.step = {steps}"
+    grown = f"g.m + {value}"
+    out = [
+        binned(p, "NOT is_test", folds, bins),
+        whole_runs(p, folds),
+        f"""
+{p}params AS (SELECT (fit * {folds + 1} + run)::int AS t, fit, run, out, rate, keep, depth, steps, take, low, high, {base} AS base,
+    {ridge}::double AS ridge, {weight}::double AS min_weight, {leaf} AS min_leaf, 2 AS min_split
+  FROM (SELECT v.*, run, out, pos, neg, CASE WHEN balanced = 1 THEN low ELSE 1.0::double END AS low,
+    CASE WHEN balanced = 1 THEN high * positive ELSE positive::double END AS high
+    FROM {values_table(rows, 'fit, balanced, positive, rate, keep, depth, steps, take')} v, {p}sizes))""",
+        f"""
+{p}cols AS (SELECT tree, f, row_number() OVER (PARTITION BY tree ORDER BY md5('columns'||tree||':'||f)) AS place
+  FROM unnest(range({max(counts)})) AS h(tree), unnest(range({WIDTH})) AS g(f))""",
+        f"""
+{p}grown(t, id, path, tree, step, m, kept) USING KEY (t, id) AS (
+  SELECT t, id, 1::bigint, 0, 0, base, []::double[] FROM {p}params, split_rows
+  UNION
+  (WITH state AS MATERIALIZED (SELECT * FROM {p}grown WHERE tree < {max(counts)}), {whole_step(p, members, columns, leafwise)}
+  SELECT g.t, g.id, CASE WHEN {ended} THEN 1 ELSE {MOVED} END, CASE WHEN {ended} THEN g.tree + 1 ELSE g.tree END,
+    CASE WHEN {ended} THEN 0 ELSE g.step + 1 END, CASE WHEN {ended} THEN {grown} ELSE g.m END,
+    CASE WHEN {ended} AND g.tree + 1 IN ({', '.join(map(str, counts))}) THEN list_append(g.kept, {grown}) ELSE g.kept END
+  FROM state g JOIN {p}params q ON q.t = g.t JOIN tot n ON n.t = g.t AND n.path = g.path
+  LEFT JOIN pick s ON s.t = g.t AND s.path = g.path LEFT JOIN {p}bins c ON c.id = g.id AND c.f = s.f))""",
+    ]
+    places = [(i, at, counts.index(c["n_estimators"]) + 1) for i, (c, at) in enumerate(candidates)]
+    out.append(
+        f"\n{p}scores AS (SELECT candidate, run, id, 1/(1+exp(-kept[place])) AS p FROM {p}grown JOIN {p}params USING (t) "
+        f"JOIN {values_table(places, 'candidate, fit, place')} USING (fit))"
+    )
+    return ",".join(out)
+
+
+def whole_forest(p: str, grid: dict, folds: int, bins: int = WHOLE_BINS) -> str:
+    """`<p>scores` of a whole grid of forests; a row keeps its values at the depths asked for."""
+    fits, candidates = whole_fits(grid, ("n_estimators", "max_depth"))
+    counts, trees = sorted(set(grid["n_estimators"])), max(grid["n_estimators"])
+    depths = sorted({d or DEEPEST for d in grid["max_depth"]})
+    per_node = {"sqrt": int(WIDTH**0.5), "log2": max(1, len(bin(WIDTH)) - 3)}
+    rows = [
+        (i, int(f["class_weight"] == "balanced"), f["min_samples_split"], f["min_samples_leaf"], per_node[f["max_features"]])
+        for i, f in enumerate(fits)
+    ]
+    copies = "+".join(f"(u >= {edge})::int" for edge in POISSON)
+    members = f"SELECT g.t, g.id, g.path, g.step, a, b FROM state g JOIN {p}members USING (t, id)"
+    columns = f"""SELECT leaves.t, path, f FROM leaves JOIN {p}params q ON q.t = leaves.t, unnest(range({WIDTH})) AS h(f)
+  QUALIFY row_number() OVER (PARTITION BY leaves.t, path ORDER BY md5(tree||':'||path||':'||f)) <= per_node"""
+    value = f"{real('n.a')}/{real('n.b')}"
+    out = [
+        binned(p, "NOT is_test", folds, bins),
+        whole_runs(p, folds),
+        f"""
+{p}params AS (SELECT ((fit * {folds + 1} + run) * {trees} + tree)::int AS t, tree::int AS tree, fit, run, out, {max(depths)} AS depth, {max(depths)} AS steps, min_split,
+    min_leaf, per_node, round_even(CASE WHEN balanced = 1 THEN low ELSE 1 END * {UNIT}, 0)::bigint AS low,
+    round_even(CASE WHEN balanced = 1 THEN high ELSE 1 END * {UNIT}, 0)::bigint AS high, 0.0::double AS ridge, 0.0::double AS min_weight
+  FROM {values_table(rows, 'fit, balanced, min_split, min_leaf, per_node')} v, {p}sizes, unnest(range({trees})) AS g(tree)),
+{p}drawn AS (SELECT id, label, fold, tree, {copies} AS k FROM (SELECT *, {uniform('id', "':boot'||tree")} AS u
+  FROM {p}train, unnest(range({trees})) AS g(tree))),
+{p}members AS (SELECT t, id, (k * CASE WHEN label = 1 THEN high ELSE low END) * label AS a, k * CASE WHEN label = 1 THEN high ELSE low END AS b
+  FROM {p}drawn JOIN {p}params USING (tree) WHERE fold <> out AND k > 0)""",
+        f"""
+{p}grown(t, id, path, step, kept) USING KEY (t, id) AS (
+  SELECT t, id, 1::bigint, 0, []::double[] FROM {p}params, split_rows
+  UNION
+  (WITH state AS MATERIALIZED (SELECT * FROM {p}grown WHERE step <= {max(depths)}), {whole_step(p, members, columns, False)}
+  SELECT g.t, g.id, {MOVED}, g.step + 1, CASE WHEN g.step IN ({', '.join(map(str, depths))}) THEN list_append(g.kept, {value}) ELSE g.kept END
+  FROM state g JOIN tot n ON n.t = g.t AND n.path = g.path
+  LEFT JOIN pick s ON s.t = g.t AND s.path = g.path LEFT JOIN {p}bins c ON c.id = g.id AND c.f = s.f))""",
+    ]
+    places = [(i, at, c["n_estimators"], depths.index(c["max_depth"] or DEEPEST) + 1) for i, (c, at) in enumerate(candidates)]
+    out.append(
+        f"\n{p}scores AS (SELECT candidate, run, id, sum(kept[place] ORDER BY tree) / any_value(count) AS p FROM {p}grown "
+        f"JOIN {p}params USING (t) JOIN {values_table(places, 'candidate, fit, count, place')} USING (fit) WHERE tree < count "
+        "GROUP BY candidate, run, id)"
+    )
+    return ",".join(out)
+
+
+def whole_metrics(grids: dict[str, dict], bins: int = WHOLE_BINS) -> str:
+    """Metrics of the best model of each family's whole grid."""
+    parts = {
+        "random_forest": ("wg", whole_forest("wg", grids["random_forest"], 5, bins), 5),
+        "boosted_a": ("wa", whole_boosted("wa", grids["boosted_a"], 3, bins), 3),
+        "boosted_b": ("wb", whole_boosted("wb", grids["boosted_b"], 3, bins), 3),
+    }
+    text = split_rows()
+    for name, (p, fits, folds) in parts.items():
+        text += "," + search_metrics(name, p, fits, folds)
+    every = " UNION ALL ".join(f"SELECT * FROM {p}metrics" for p, _, _ in parts.values())
+    return f"WITH RECURSIVE {text}, metrics AS ({every})"
+
+
+# The grids of the schema.
+WHOLE_GRIDS = {
+    "random_forest": {
+        "n_estimators": [100, 200, 300], "max_depth": [None, 10, 20, 30], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4],
+        "max_features": ["sqrt", "log2"], "class_weight": ["balanced", None],
+    },
+    "boosted_a": {
+        "n_estimators": [100, 200, 300], "max_depth": [3, 5, 7], "learning_rate": [0.01, 0.05, 0.1], "subsample": [0.7, 0.85, 1.0],
+        "colsample_bytree": [0.7, 0.85, 1.0], "scale_pos_weight": [1, 2, 3],
+    },
+    "boosted_b": {
+        "n_estimators": [100, 200, 300], "max_depth": [-1, 10, 20], "learning_rate": [0.01, 0.05, 0.1], "num_leaves": [31, 63, 127],
+        "subsample": [0.7, 0.85, 1.0], "class_weight": ["balanced", None],
+    },
+}
+
 # --- the registered fits ----------------------------------------------------------------------------------
 
 # The same grids as in the catalog.
@@ -455,7 +644,7 @@ FROM fnodes n LEFT JOIN fmade m USING (t, path) LEFT JOIN fedges e ON e.f = m.f
 TREE_ORACLES = {
     "rf_metrics": model_metrics("random_forest") + " SELECT * FROM metrics",
     "gbt_metrics": model_metrics("boosted_a", "boosted_b") + " SELECT * FROM metrics",
-    "model_comparison": model_metrics("random_forest", "boosted_a", "boosted_b")
+    "model_comparison": whole_metrics(WHOLE_GRIDS)
     + " SELECT model, value AS roc_auc FROM metrics WHERE split = 'test' AND metric = 'roc_auc' ORDER BY roc_auc DESC, model",
     "cv_summary": cross_validated(),
     "rf_importance": importance(),

@@ -38,3 +38,28 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark, "x").startswith(root or "/")
     df = spark.range(5).selectExpr("id * 2 AS v")
     assert sorted(r[0] for r in stored(df).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_whole_grids_equal_their_recursive_twin(spark, monkeypatch):
+    """What the comparison does, on grids with several values of the parameters but few trees."""
+    from ebbtide.catalog import queries as Q
+    from ebbtide.catalog import tree_twins as W
+
+    grids = {
+        "random_forest": {
+            "n_estimators": [1, 2], "max_depth": [None, 3], "min_samples_split": [2], "min_samples_leaf": [1, 30],
+            "max_features": ["log2"], "class_weight": ["balanced", None],
+        },
+        "boosted_a": {
+            "n_estimators": [1, 2], "max_depth": [1, 2], "learning_rate": [0.3], "subsample": [0.7], "colsample_bytree": [0.7, 1.0],
+            "scale_pos_weight": [2],
+        },
+        "boosted_b": {
+            "n_estimators": [1, 2], "max_depth": [-1], "learning_rate": [0.3], "num_leaves": [3, 4], "subsample": [1.0],
+            "class_weight": ["balanced", None],
+        },
+    }
+    assert Q.WHOLE_GRIDS == W.WHOLE_GRIDS
+    sf = "/root/testdata/sf0.01"
+    ours = sorted(tuple(row) for row in Q.searched(spark, sf, *grids, grids=grids).collect())
+    assert ours == sorted(duck(sf).execute(W.whole_metrics(grids) + " SELECT * FROM metrics").fetchall())
